@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import near_dup
+from strandlake.llm import near_dup, pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op4_pii(spark, sf_dir):
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_iban, scores."""
+    return pii.pii_digest(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_near_dup(spark, sf_dir):
     """doc_id, n_shingles, component_id, kept."""
