@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import near_dup, pii
+from strandlake.llm import decontaminate, line_dup, near_dup, pii, substring_dup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -19,12 +19,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_substring_dedup(spark, sf_dir):
+    """doc_id, start, end, keeper_doc_id, keeper_start of each removed unit."""
+    return substring_dup.repeated_units(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_pii(spark, sf_dir):
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_iban, scores."""
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_line_dedup(spark, sf_dir):
+    """doc_id, n_removed, removed_bytes, kept_bytes, kept_sha256, spans."""
+    return line_dup.line_dedup_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_decontaminate(spark, sf_dir):
+    """doc_id, item_id, common, n_item, containment."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op10_near_dup(spark, sf_dir):
     """doc_id, n_shingles, component_id, kept."""
