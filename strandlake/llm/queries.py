@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import decontaminate, line_dup, near_dup, pii, substring_dup
+from strandlake.llm import decontaminate, line_dup, mixing, near_dup, pii, quality, substring_dup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,6 +25,15 @@ def op1_substring_dedup(spark, sf_dir):
     return substring_dup.repeated_units(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_mixing(spark, sf_dir):
+    """doc_id, domain, lang, source, n_tokens, epoch."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+SQL["op3_mixing"] = mixing.ORACLE
+
+
 @query
 def op4_pii(spark, sf_dir):
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_iban, scores."""
@@ -43,6 +52,12 @@ def op6_decontaminate(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op7_quality(spark, sf_dir):
+    """doc_id, held_out, score, predicted."""
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op10_near_dup(spark, sf_dir):
     """doc_id, n_shingles, component_id, kept."""
