@@ -62,3 +62,11 @@ def op7_quality(spark, sf_dir):
 def op10_near_dup(spark, sf_dir):
     """doc_id, n_shingles, component_id, kept."""
     return near_dup.near_dup_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def pipeline(spark, sf_dir):
+    """doc_id, text, lang, source, n_chars, domain, epoch."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
