@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import decontaminate, line_dup, mixing, near_dup, pii, quality, substring_dup
+from strandlake.llm import decontaminate, license_scan, line_dup, media, mixing, near_dup, pii, quality, substring_dup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,6 +25,12 @@ def op1_substring_dedup(spark, sf_dir):
     return substring_dup.repeated_units(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_license_scan(spark, sf_dir):
+    """doc_id, paragraph, start, end, family, probability, shared of each notice."""
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_mixing(spark, sf_dir):
     """doc_id, domain, lang, source, n_tokens, epoch."""
@@ -58,6 +64,18 @@ def op7_quality(spark, sf_dir):
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op8_media(spark, sf_dir):
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
+    return media.media_digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_warc(spark, sf_dir):
+    """page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 @query
 def op10_near_dup(spark, sf_dir):
     """doc_id, n_shingles, component_id, kept."""
