@@ -138,7 +138,7 @@ def read_back(stored: DataFrame, borrowed: DataFrame) -> DataFrame:
     lent = lent.select(F.col("x.digest").alias("digest"), F.get("own", F.col("x.owner_k")).alias("data")).dropDuplicates(["digest"])
     parts = borrowed.select("doc_id", "key", "k", "digest").join(lent, "digest").groupBy("doc_id", "key").agg(F.collect_list(F.struct("k", "data")).alias("parts"))
     whole = stored.where("borrows = 0").select("doc_id", "key", "n_bytes", "own", F.lit(None).cast("array<struct<k:int,data:binary>>").alias("parts"))
-    mixed = join_checked(stored.where("borrows > 0"), written(parts, "media-parts"), ["doc_id", "key"], "left", 4096).select(whole.columns)
+    mixed = join_checked(stored.where("borrows > 0"), parts, ["doc_id", "key"], "left", None).select(whole.columns)
 
     def f(batch: pa.RecordBatch):
         rows = []

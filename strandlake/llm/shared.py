@@ -38,10 +38,13 @@ def small_enough(frame: DataFrame, row_bytes: int) -> bool:
     return frame.limit(most + 1).count() <= most
 
 
-def join_checked(big: DataFrame, side: DataFrame, on: list[str] | str, how: str, row_bytes: int) -> DataFrame:
-    """A join that broadcasts side only if it was counted and is small; else Spark shuffles and splits skewed keys."""
+def join_checked(big: DataFrame, side: DataFrame, on: list[str] | str, how: str, row_bytes: int | None) -> DataFrame:
+    """A join that broadcasts side only if it was counted and is small; else Spark shuffles and splits skewed keys.
+
+    With row_bytes None it is never broadcast, as for sides that carry payloads. Nulls match nulls.
+    """
     on = [on] if isinstance(on, str) else on
-    side = F.broadcast(side) if small_enough(side, row_bytes) else side.hint("shuffle_merge")
+    side = F.broadcast(side) if row_bytes is not None and small_enough(side, row_bytes) else side.hint("shuffle_merge")
     keys = [f"_r{k}" for k in range(len(on))]
     side = side.withColumnsRenamed(dict(zip(on, keys, strict=True)))
     cond = F.lit(True)
