@@ -111,10 +111,10 @@ def _cut(text: bytes, own) -> bytes:
     return b"".join([*kept, text[at:]]).rstrip(b"\n") if own else text
 
 
-def with_removed(docs: DataFrame) -> DataFrame:
-    """docs plus removed, an array of start, end, keeper_doc_id, keeper_start in bytes of the text; null where nothing repeats."""
+def with_removed(docs: DataFrame, name: str = "removed") -> DataFrame:
+    """docs plus a column, an array of start, end, keeper_doc_id, keeper_start in bytes of the text; null where nothing repeats."""
     gone = repeated_chunks(docs)
-    lists = gone.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "keeper_doc_id", "keeper_start"))).alias("removed"))  # no more than a text has
+    lists = gone.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "keeper_doc_id", "keeper_start"))).alias(name))  # no more than a text has
     return join_checked(docs, written(lists, "chunk-lists"), "doc_id", "left", 256)
 
 
@@ -124,10 +124,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     A document of which nothing remains is left out: earlier documents have
     all of its lines. Empty and null texts stay as they are.
     """
-    names = docs.columns
+    names, gone = docs.columns, "__removed__"
     cut = F.pandas_udf(_cut_series, "string")
-    out = with_removed(docs).withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(cut("text", "removed")))
-    return out.where(F.col("removed").isNull() | (F.trim(F.regexp_replace("text", r"\s+", " ")) != "")).select(names)
+    out = with_removed(docs, gone).withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(cut("text", gone)))
+    return out.where(F.col(gone).isNull() | F.rlike("text", F.lit(r"\S"))).select(names)
 
 
 def _cut_series(texts, removed):

@@ -4,7 +4,6 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +44,7 @@ def join_checked(big: DataFrame, side: DataFrame, on: list[str] | str, how: str,
     """
     on = [on] if isinstance(on, str) else on
     side = F.broadcast(side) if row_bytes is not None and small_enough(side, row_bytes) else side.hint("shuffle_merge")
-    keys = [f"_r{k}" for k in range(len(on))]
+    keys = [f"__side_key_{k}" for k in range(len(on))]
     side = side.withColumnsRenamed(dict(zip(on, keys, strict=True)))
     cond = F.lit(True)
     for a, b in zip(on, keys, strict=True):
@@ -78,7 +77,3 @@ def pieces(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatc
 
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
-
-
-def cached(frame: DataFrame) -> DataFrame:
-    return frame.persist(StorageLevel.DISK_ONLY)

@@ -72,7 +72,7 @@ def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
     A document that has nothing but white space left becomes an empty text.
     """
-    lists = spans.distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))  # no more than a text has
+    lists = spans.distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans__"))  # no more than a text has
 
     @F.pandas_udf("string")
     def cut(texts, all_spans):
@@ -92,4 +92,4 @@ def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
     text = docs["text"]
     joined = join_checked(docs, written(lists, "spans"), "doc_id", "left", 64)
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), text).otherwise(cut("text", "_spans"))).select(docs.columns)
+    return joined.withColumn("text", F.when(F.col("__spans__").isNull(), text).otherwise(cut("text", "__spans__"))).select(docs.columns)
