@@ -53,7 +53,10 @@ def join_checked(big: DataFrame, side: DataFrame, on: list[str] | str, how: str,
 
 
 def map_arrow(frame: DataFrame, f: Callable[[pa.RecordBatch], "pa.RecordBatch | pa.Table | None"], schema) -> DataFrame:
-    """f over each Arrow batch; what it returns is cut into batches of bounded size."""
+    """f over each Arrow batch; what it returns is cut into batches of bounded size.
+
+    A worker gives memory back after each partition, as it waits for others with what it holds.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -61,11 +64,22 @@ def map_arrow(frame: DataFrame, f: Callable[[pa.RecordBatch], "pa.RecordBatch |
                 out = f(part)
                 if out is not None and out.num_rows:
                     yield from out.to_batches(max_chunksize=20_000) if isinstance(out, pa.Table) else [out]
+                del out
+        give_back()
 
     return frame.mapInArrow(run, schema)
 
 
-def pieces(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
+def pieces(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in row ranges of at most so many bytes, single larger rows by themselves."""
     if batch.nbytes <= most or batch.num_rows <= 1:
         yield batch
