@@ -106,7 +106,7 @@ def fasta_gzip_scan(spark, sf_dir):
 def _gen_fastq(spark, sf_dir, mode="validated", **how):
     at = scratch(spark, "fastq")
     sinks.write_text(gen(spark, sf_dir).select(sinks.fastq_text(F.col("id"), F.col("sequence"), F.col("quality"), " made").alias("r")), "r", at, **how)
-    return dedup_scan(scan_fastq(spark, at, mode, split_bytes=20_000)).select("id", "sequence", "quality")
+    return dedup_scan(scan_fastq(spark, at, mode, split_bytes=200_000)).select("id", "sequence", "quality")
 
 
 @query(f"select id, sequence, quality from ({GEN})")
