@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import decontaminate, license_scan, line_dup, media, mixing, near_dup, pii, quality, substring_dup, warc
+from strandlake.llm import decontaminate, license_scan, line_dup, media, mixing, near_dup, oracles, pii, quality, substring_dup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -58,6 +58,9 @@ def op6_decontaminate(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+SQL["op6_decontaminate"] = oracles.DECONTAMINATE
+
+
 @query
 def op7_quality(spark, sf_dir):
     """doc_id, held_out, score, predicted."""
@@ -76,12 +79,18 @@ def op9_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+SQL["op9_warc"] = oracles.WARC
+
+
 @query
 def op10_near_dup(spark, sf_dir):
     """doc_id, n_shingles, component_id, kept."""
     return near_dup.near_dup_groups(table(spark, sf_dir, "documents"))
 
 
+SQL["op10_near_dup"] = oracles.NEAR_DUP
+
+
 @query
 def pipeline(spark, sf_dir):
     """doc_id, text, lang, source, n_chars, domain, epoch."""
