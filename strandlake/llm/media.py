@@ -13,6 +13,7 @@ an empty one.
 """
 
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -73,13 +74,13 @@ def chunks(image: bytes) -> list[bytes]:
 
 
 def feature(payload: bytes) -> str:
-    """Shares of 16 bands of sample values in thousandths, then mean and deviation."""
+    """Shares of 16 bands of sample values, then mean and deviation, all in whole thousandths, rounded down from exact values."""
     x = np.frombuffer(payload, np.uint8)
     counts = np.bincount(x, minlength=256)
     shares = np.add.reduceat(counts, _GRID[:-1]) * 1000 // len(x)
-    v = np.arange(256)
-    mean = (counts * v).sum() / len(x)
-    return ",".join(map(str, [*shares.tolist(), round(mean, 3), round(float(np.sqrt((counts * (v - mean) ** 2).sum() / len(x))), 3)]))
+    v, n = np.arange(256), len(x)
+    one, two = int((counts * v).sum()), int((counts * v * v).sum())
+    return ",".join(map(str, [*shares.tolist(), one * 1000 // n, math.isqrt((n * two - one * one) * 1_000_000 // (n * n))]))
 
 
 def _images(batch: pa.RecordBatch):

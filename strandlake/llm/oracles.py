@@ -1,6 +1,8 @@
 """SQL for the rows of those queries that it can express; mixing has its own."""
 
 from strandlake.llm.decontaminate import PERCENT
+from strandlake.llm.media import WIDTH
+from strandlake.llm.substring_dup import LEAST_WORDS
 from strandlake.llm.warc import LEAST
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -38,3 +40,33 @@ firsts as (select *, case when n >= {LEAST} then min(page_id) over (partition by
 select page_id, n as payload_bytes, sha256(p) as payload_digest, case when f < page_id then 'revisit' else 'response' end as record_type,
   case when f < page_id then f end as refers_to from firsts
 """
+
+#: Pieces of a text, each line end and each sentence by itself, that give the text back when joined.
+_PIECES = "string_split(replace(regexp_replace(coalesce(text, ''), '([.!?]+)(\\s|$)', '\\1' || chr(1) || '\\2', 'g'), chr(10), chr(1) || chr(10) || chr(1)), chr(1))"
+
+SUBSTRING_DUP = f"""
+with pieces as (select doc_id, unnest(p) as p, unnest(range(len(p))) as k from (select doc_id, {_PIECES} as p from documents)),
+placed as (select doc_id, p as text, cast(coalesce(sum(length(p)) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0) as int) as start from pieces),
+units as (select doc_id, start, cast(start + length(text) as int) as stop, list_filter(string_split_regex({_LOWER}, '\\s+'), lambda x: x <> '') as w from placed),
+long as (select doc_id, start, stop, array_to_string(w, ' ') as u from units where len(w) >= {LEAST_WORDS}),
+kept as (select *, first_value(doc_id) over o as keeper_doc_id, first_value(start) over o as keeper_start from long window o as (partition by u order by doc_id, start))
+select doc_id, start, stop as "end", keeper_doc_id, keeper_start from kept where (doc_id, start) <> (keeper_doc_id, keeper_start)
+"""
+
+_BANDS = " || ',' || ".join(f"cast(count(*) filter (b[1] = '{d}') * 1000 // count(*) as varchar)" for d in "0123456789ABCDEF")
+
+MEDIA = f"""
+with raw as (select doc_id, encode(coalesce(text, '')) as b from documents),
+padded as (select doc_id, octet_length(b) as n_bytes, greatest(1, (octet_length(b) + {WIDTH - 1}) // {WIDTH}) as n_rows, hex(b) as h from raw),
+own as (select doc_id, n_bytes, n_rows, h || repeat('FF', n_rows * {WIDTH} - n_bytes) as h from padded),
+octets as (select doc_id, unnest(regexp_extract_all(h, '..')) as b from own),
+numbers as (select doc_id, b, cast('0x' || b as int) as v from octets),
+moments as (select doc_id, {_BANDS} as shares, count(*)::hugeint as n, sum(v)::hugeint as one, sum(v * v)::hugeint as two from numbers group by doc_id),
+features as (select doc_id, shares || ',' || (one * 1000 // n) || ',' || cast(floor(sqrt((n * two - one * one) * 1000000 // (n * n))) as bigint) as feature from moments),
+bits as (select *, unhex(h) as p, unhex(hex(encode('P5' || chr(10) || '{WIDTH} ' || n_rows || chr(10) || '255' || chr(10))) || h) as image,
+  flatten(list_transform(regexp_extract_all(right(h, 64), '..'), lambda x: list_transform(range(8), lambda k: (cast('0x' || x as bigint) >> k) & 1))) as tail from own)
+select doc_id, n_bytes, octet_length(p) as payload_bytes, sha256(p) as payload_sha256,
+  xor(list_reduce(list_prepend(4294967295, tail), lambda c, x: xor(c >> 1, (xor(c, x) & 1) * 3988292384)), 4294967295) as tail_crc32,
+  octet_length(image) as media_bytes, sha256(image) as media_sha256, feature
+from bits join features using (doc_id)
+"""

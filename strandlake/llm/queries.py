@@ -25,6 +25,9 @@ def op1_substring_dedup(spark, sf_dir):
     return substring_dup.repeated_units(table(spark, sf_dir, "documents"))
 
 
+SQL["op1_substring_dedup"] = oracles.SUBSTRING_DUP
+
+
 @query
 def op2_license_scan(spark, sf_dir):
     """doc_id, paragraph, start, end, family, probability, shared of each notice."""
@@ -73,6 +76,9 @@ def op8_media(spark, sf_dir):
     return media.media_digest(table(spark, sf_dir, "documents"))
 
 
+SQL["op8_media"] = oracles.MEDIA
+
+
 @query
 def op9_warc(spark, sf_dir):
     """page_id, payload_bytes, payload_digest, record_type, refers_to."""

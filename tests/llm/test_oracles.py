@@ -20,5 +20,6 @@ def test_same_rows(spark, name):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     frame = QUERIES[name](spark, DATA)
     cols = sorted(frame.columns)
-    want = con.execute(f"select {', '.join(cols)} from ({SQL[name]})").fetchall()
+    quoted = ", ".join(f'"{c}"' for c in cols)
+    want = con.execute(f"select {quoted} from ({SQL[name]})").fetchall()
     assert want and rows(frame.select(cols).collect()) == rows(want)
