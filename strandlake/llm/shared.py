@@ -1,5 +1,6 @@
 """Storage, joins and Arrow plumbing that the operators share."""
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,11 +13,14 @@ BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 48 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """Folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset, and not on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         import tempfile
 
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+
         base = "file://" + tempfile.gettempdir() + "/checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
