@@ -6,6 +6,8 @@ each shingle that its documents may have, so that an item's least shingle in a
 bucket is still the document's least one there with probability over 0.88 for
 each shingle that they share, however long the document is. An item with any
 bucket in common is verified: the share of its shingles that the document has.
+Of items with few shingles, for which that could fail by chance, every shingle
+is looked up in the whole document.
 
 Items are looked up by every task; they are read in blocks of bounded size, one
 pass over the documents for each block.
@@ -24,6 +26,8 @@ PERCENT = 80
 #: Items in a block, and bytes of their texts.
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 32 << 20
 LOAD = 4
+#: Items with fewer shingles are short: those with more share 16 with a document that contains them, and miss it with probability below 1e-14.
+SHORT = 20
 
 _U = np.uint64
 
@@ -43,12 +47,20 @@ def bucket_minima(hashes: np.ndarray, bits: int) -> np.ndarray:
     return hashes[first]
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of the values are in a sorted array with at least one."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 class Items:
     """Shingle sets of a block of items, and their signatures for each size class as asked for."""
 
     def __init__(self, ids: np.ndarray, hashes: np.ndarray, at: np.ndarray):
         self.ids, self.hashes, self.at = ids, hashes, at
         self.classes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        sizes = np.diff(at)
+        short = np.repeat(sizes < SHORT, sizes)
+        self.short, self.short_item = hashes[short], np.repeat(np.arange(len(sizes)), sizes)[short]
 
     def signature(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Minima of all items in a class, sorted, with the item of each."""
@@ -67,13 +79,10 @@ class Items:
         own = bucket_minima(doc, bits)
         if not len(minima) or not len(own):
             return []
-        lo = np.searchsorted(own, minima)
-        hit = own[np.minimum(lo, len(own) - 1)] == minima
         out = []
-        for k in np.unique(item[hit]):
+        for k in np.unique(np.concatenate([item[_among(minima, own)], self.short_item[_among(self.short, doc)]])):
             want = self.hashes[self.at[k] : self.at[k + 1]]
-            where = np.searchsorted(doc, want)
-            common = int((doc[np.minimum(where, len(doc) - 1)] == want).sum())
+            common = int(_among(want, doc).sum())
             if common * 100 >= len(want) * percent:
                 out.append((int(k), common, len(want)))
         return out
