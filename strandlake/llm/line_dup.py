@@ -119,7 +119,7 @@ def with_removed(docs: DataFrame, name: str = "removed") -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs without repeated chunks; columns as they were.
+    """docs without repeated chunks; columns as they were, with n_chars, if there is one, of the text that remains.
 
     A document of which nothing remains is left out: earlier documents have
     all of its lines. Empty and null texts stay as they are.
@@ -127,6 +127,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     names, gone = docs.columns, "__removed__"
     cut = F.pandas_udf(_cut_series, "string")
     out = with_removed(docs, gone).withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(cut("text", gone)))
+    if "n_chars" in names:
+        n = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(n))
     return out.where(F.col(gone).isNull() | F.rlike("text", F.lit(r"\S"))).select(names)
 
 

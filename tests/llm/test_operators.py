@@ -160,6 +160,8 @@ def test_line_dedup(docs, odd, none):
         kept = line_dup.dedup_lines(frame)
         assert kept.columns == frame.columns
         assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted((d or 0, t) for d, t, gone in want if not gone or t.strip())
+        texts = {(d.doc_id, d.text) for d in frame.collect()}
+        assert all(r.n_chars == len(r.text) for r in kept.collect() if (r.doc_id, r.text) not in texts)
     lines = [f"line {k}" for k in range(200)]
     whole, moved = "\n".join(lines).encode(), "\n".join(["new", *lines]).encode()
     cuts = lambda x: {x[s:e].rstrip(b"\n") for s, e, _ in line_dup.line_chunks(x)}
@@ -172,6 +174,12 @@ def test_decontaminate(spark, docs, odd, none):
     want = {(d.doc_id, i) for d in docs.collect() for i, s in have.items() if 100 * len(s & shingles(d.text)) >= 80 * len(s)}
     got = decontaminate.contaminated(docs, items).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+    long = [(d.doc_id, tokens(d.text)) for d in docs.collect() if d.doc_id % 5 == 0]
+    cuts = [" ".join(w[k : k + n]) for _, w in long for n in (5, 6, 8, 23, 24) for k in range(0, len(w) - n, max(1, len(w) // 3))]
+    short = spark.createDataFrame(list(enumerate(cuts)), "item_id long, text string")
+    have = {i: shingles(t) for i, t in enumerate(cuts)}
+    want = {(i, k) for i, w in long for own in [shingles(" ".join(w))] for k, s in have.items() if 100 * len(s & own) >= 80 * len(s)}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs.where("doc_id % 5 = 0"), short).collect()} == want
     few = spark.createDataFrame([(1, "short ONE", 3), (2, None, 3), (3, "", 3), (4, "sit amet lorem ipsum dolor sit amet", 3)], "item_id long, text string, doc_id int")
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(odd, few).collect()) == [(5, 4), (6, 1), (7, 1)]
     left = decontaminate.decontaminate(odd, few)
