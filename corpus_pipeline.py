@@ -15,6 +15,9 @@ from strandlake.llm.near_dup import drop_near_dups
 from strandlake.llm.quality import keep_quality
 from strandlake.llm.shared import written
 
+#: Common shingles of two documents, in percent of all of theirs, from which the near_dedup stage links them; op10 has its own.
+NEAR_PERCENT = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
@@ -27,8 +30,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return drop_near_dups(docs)
+    """One document of each group of near-duplicates, linked at a similarity of NEAR_PERCENT or more."""
+    return drop_near_dups(docs, percent=NEAR_PERCENT)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
