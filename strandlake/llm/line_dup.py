@@ -1,125 +1,140 @@
-"""Repeated runs of lines: content-defined chunks of lines, removed after byte comparison.
-
-A rolling hash over the hashes of the last few lines ends a chunk where it hits
-a pattern, so that the same run of lines is cut alike wherever it stands. Only
-chunks of several lines count. A chunk whose digest occurs elsewhere is read
-again from both texts and compared byte by byte with the earliest occurrence,
-the one with the least (doc_id, first line); it is removed if equal.
+"""Repeated runs of lines: windows of two lines, looked up over all texts and compared byte by byte.
+
+A run of lines stands in an earlier place exactly if each of its windows of
+LEAST_LINES lines does, so that the windows that occur earlier cover all runs
+of that many lines and more, whatever stands around them. A window whose digest
+occurs elsewhere is read again from both texts and compared byte by byte with
+the earliest occurrence, the one with the least (doc_id, text digest, start);
+its lines are removed if equal. The first occurrence of a line always stays, as
+a window that covers it cannot occur earlier. Windows of blank lines only do
+not count.
+
+A row is known by doc_id and a digest of its text: rows with both alike are one
+document, rows that share a doc_id, or have none, are not.
 """
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.shared import join_checked, map_arrow, text_or_empty, written
-from strandlake.llm.words import mix
 
-#: Lines that the rolling hash sees, and the mean distance of its hits.
-WINDOW, MEAN_LINES = 2, 3
-LEAST_LINES, MOST_LINES = 2, 64
+#: Lines of the shortest run that counts.
+LEAST_LINES = 2
+
 
-_U = np.uint64
-_TURN = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
+def text_key(column: str = "text") -> Column:
+    """What tells the rows of one doc_id apart: a digest of the text, a null one being empty."""
+    return F.unhex(F.sha2(text_or_empty(column), 256))
 
 
-def line_chunks(data: bytes) -> list[tuple[int, int, int]]:
-    """Start byte, end byte (after the last line end) and number of lines of each chunk of a text."""
-    if not data:
-        return []
-    lines = [x + b"\n" for x in data.split(b"\n")]
-    lines[-1] = lines[-1][:-1]
+def line_windows(data: bytes) -> list[tuple[int, int]]:
+    """Start byte and end byte (after the last line end) of each run of LEAST_LINES lines of a text."""
+    lines = data.split(b"\n")
+    at = np.cumsum([0, *(len(x) + 1 for x in lines)]).tolist()
+    at[-1] = len(data)
     if not lines[-1]:
         lines.pop()
-    n = len(lines)
-    if n < 2 * LEAST_LINES:
-        return [(0, len(data), n)]
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(x.rstrip(b"\n")) for x in lines), np.uint64, n)
-    rolling = hashes * _TURN[0]
-    for k in range(1, WINDOW):
-        rolling[k:] += hashes[:-k] * _TURN[k % 2] * _U(2 * k + 1)
-    hits = mix(rolling) % _U(MEAN_LINES) == 0
-    ends = np.cumsum([len(x) for x in lines])
-    out, first = [], 0
-    for i in np.flatnonzero(hits).tolist() + [n - 1]:
-        while i - first + 1 > MOST_LINES:
-            out.append((first, first + MOST_LINES))
-            first += MOST_LINES
-        if i - first + 1 >= LEAST_LINES:
-            out.append((first, i + 1))
-            first = i + 1
-    if first < n:  # a single line at the end belongs to the chunk before it
-        out[-1] = (out[-1][0], n)
-    return [(int(ends[a - 1]) if a else 0, int(ends[b - 1]), b - a) for a, b in out]
-
-
-def chunk_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, start and end byte, lines and digest d1, d2 of each chunk."""
+    return [(at[k], at[k + LEAST_LINES]) for k in range(len(lines) - LEAST_LINES + 1) if any(x.strip() for x in lines[k : k + LEAST_LINES])]
+
+
+def _content(text: bytes, start: int, end: int) -> bytes:
+    """The lines of a window without the last line end, as a text's last line has none."""
+    return text[start:end].removesuffix(b"\n")
+
+
+def window_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, key, start and end byte and digest d1, d2 of each window."""
 
     def f(batch: pa.RecordBatch):
-        ids, spans, digests = [], [], []
-        for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-            for s, e, n in line_chunks(data):
-                ids.append(doc)
-                spans.append((s, e, n))
-                digests.append(xxhash.xxh3_128_digest(data[s:e].rstrip(b"\n")))
-        s, e, n = (pa.array(c, pa.int32()) for c in (zip(*spans, strict=True) if spans else ((), (), ())))
+        rows, spans, digests = [], [], []
+        for k, data in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
+            for s, e in line_windows(data):
+                rows.append(k)
+                spans.append((s, e))
+                digests.append(xxhash.xxh3_128_digest(_content(data, s, e)))
+        at = pa.array(rows, pa.int32())
+        s, e = (pa.array(c, pa.int32()) for c in (zip(*spans, strict=True) if spans else ((), ())))
         both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), s, e, n, pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["doc_id", "start", "end", "lines", "d1", "d2"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("key").take(at), s, e, pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["doc_id", "key", "start", "end", "d1", "d2"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), text_or_empty()), f, "doc_id long, start int, end int, lines int, d1 long, d2 long")
+    return map_arrow(_slim(docs), f, "doc_id long, key binary, start int, end int, d1 long, d2 long")
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, start, end (bytes of the UTF-8 text), keeper_doc_id and keeper_start of each removed chunk.
+def _slim(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), text_or_empty().alias("text"))
 
-    Rows of one doc_id count as one document. A null doc_id ranks last.
+
+def repeated_windows(docs: DataFrame) -> DataFrame:
+    """doc_id, key, start, end (bytes of the UTF-8 text), keeper_doc_id, keeper_key and keeper_start of each window that occurs earlier.
+
+    A null doc_id ranks last.
     """
-    rows = written(chunk_rows(docs).where(F.col("lines") >= LEAST_LINES), "chunks")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start")
+    rows = written(window_rows(docs), "windows")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "start")
     known = rows.groupBy("d1", "d2").agg(F.min(place).alias("keeper"), F.max(place).alias("other")).where("keeper <> other").select("d1", "d2", "keeper")
-    again = written(rows.join(known, ["d1", "d2"]).withColumn("keeps", place.eqNullSafe(F.col("keeper"))), "chunks-again")
+    again = written(rows.join(known, ["d1", "d2"]).withColumn("keeps", place.eqNullSafe(F.col("keeper"))).drop("keeper"), "windows-again")
 
-    # the bytes of these chunks only, from one more pass over their documents
-    spans = again.select("doc_id", "d1", "d2", "start", "end", "keeps").distinct()
-    lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "d1", "d2", "keeps")).alias("spans"))  # no more than a text has
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    held = join_checked(texts, written(lists, "chunk-spans"), "doc_id", "inner", 256)
+    # the bytes of these windows only, from one more pass over their documents
+    spans = again.distinct()
+    lists = spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "end", "d1", "d2", "keeps")).alias("spans"))  # no more than a text has
+    held = join_checked(_slim(docs), written(lists, "window-spans"), ["doc_id", "key"], "inner", 512)
 
     def take(batch: pa.RecordBatch):
-        ids, cols, data = [], [], []
-        for doc, text, own in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True):
+        rows, cols, data = [], [], []
+        for k, (text, own) in enumerate(zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True)):
             for x in own:
-                ids.append(doc)
+                rows.append(k)
                 cols.append((x["start"], x["end"], x["d1"], x["d2"], x["keeps"]))
-                data.append(text[x["start"] : x["end"]].rstrip(b"\n"))
+                data.append(_content(text, x["start"], x["end"]))
+        at = pa.array(rows, pa.int32())
         c = list(zip(*cols, strict=True)) if cols else [()] * 5
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "start": pa.array(c[0], pa.int32()), "end": pa.array(c[1], pa.int32()), "d1": pa.array(c[2], pa.int64()), "d2": pa.array(c[3], pa.int64()), "keeps": pa.array(c[4], pa.bool_()), "data": pa.array(data, pa.binary())})
+        return pa.table({"doc_id": batch.column("doc_id").take(at), "key": batch.column("key").take(at), "start": pa.array(c[0], pa.int32()), "end": pa.array(c[1], pa.int32()), "d1": pa.array(c[2], pa.int64()), "d2": pa.array(c[3], pa.int64()), "keeps": pa.array(c[4], pa.bool_()), "data": pa.array(data, pa.binary())})
 
-    data = written(map_arrow(held, take, "doc_id long, start int, end int, d1 long, d2 long, keeps boolean, data binary"), "chunk-bytes")
-    first = data.where("keeps").dropDuplicates(["d1", "d2"]).select("d1", "d2", F.col("data").alias("kept_data"), F.col("doc_id").alias("keeper_doc_id"), F.col("start").alias("keeper_start"))
+    data = written(map_arrow(held, take, "doc_id long, key binary, start int, end int, d1 long, d2 long, keeps boolean, data binary"), "window-bytes")
+    first = data.where("keeps").dropDuplicates(["d1", "d2"]).select("d1", "d2", F.col("data").alias("kept_data"), F.col("doc_id").alias("keeper_doc_id"), F.col("key").alias("keeper_key"), F.col("start").alias("keeper_start"))
     equal = data.where("not keeps").join(first, ["d1", "d2"]).where("data = kept_data")
-    return equal.select("doc_id", "start", "end", "keeper_doc_id", "keeper_start").distinct()
+    return equal.select("doc_id", "key", "start", "end", "keeper_doc_id", "keeper_key", "keeper_start").distinct()
+
+
+def _runs(own) -> list[dict]:
+    """Windows as runs that do not overlap: one goes on as long as its lines and its keeper's do."""
+    out: list[dict] = []
+    for x in sorted(own, key=lambda x: x["start"]):
+        x, last = dict(x), out[-1] if out else None
+        same = last and x["keeper_doc_id"] == last["keeper_doc_id"] and x["keeper_key"] == last["keeper_key"]
+        if same and x["start"] <= last["end"] and x["keeper_start"] - x["start"] == last["keeper_start"] - last["start"]:
+            last["end"] = x["end"]
+            continue
+        if last and x["start"] < last["end"]:
+            x["keeper_start"] += last["end"] - x["start"]
+            x["start"] = last["end"]
+        out.append(x)
+    return out
 
 
 def _cut(text: bytes, own) -> bytes:
+    """The text without the runs own."""
     kept, at = [], 0
-    for x in sorted(own, key=lambda x: x["start"]):
+    for x in own:
         kept.append(text[at : x["start"]])
-        at = max(at, x["end"])
+        at = x["end"]
     return b"".join([*kept, text[at:]]).rstrip(b"\n") if own else text
 
 
 def with_removed(docs: DataFrame, name: str = "removed") -> DataFrame:
-    """docs plus a column, an array of start, end, keeper_doc_id, keeper_start in bytes of the text; null where nothing repeats."""
-    gone = repeated_chunks(docs)
-    lists = gone.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "keeper_doc_id", "keeper_start"))).alias(name))  # no more than a text has
-    return join_checked(docs, written(lists, "chunk-lists"), "doc_id", "left", 256)
+    """docs plus a column, an array of start, end, keeper_doc_id, keeper_key, keeper_start of windows in bytes of the text; null where nothing repeats."""
+    gone = repeated_windows(docs)
+    of = F.struct("start", "end", "keeper_doc_id", "keeper_key", "keeper_start")
+    lists = gone.groupBy(F.col("doc_id").alias("__doc__"), F.col("key").alias("__key__")).agg(F.sort_array(F.collect_list(of)).alias(name))  # no more than a text has
+    keyed = docs.withColumns({"__doc__": F.col("doc_id").cast("long"), "__key__": text_key()})
+    return join_checked(keyed, written(lists, "window-lists"), ["__doc__", "__key__"], "left", 512).drop("__doc__", "__key__")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs without repeated chunks; columns as they were, with n_chars, if there is one, of the text that remains.
+    """docs without repeated runs of lines; columns as they were, with n_chars, if there is one, of the text that remains.
 
     A document of which nothing remains is left out: earlier documents have
     all of its lines. Empty and null texts stay as they are.
@@ -136,7 +151,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 def _cut_series(texts, removed):
     import pandas as pd
 
-    return pd.Series([None if t is None else _cut(t.encode(), [] if r is None else list(r)).decode("utf-8", "replace") for t, r in zip(texts, removed, strict=True)])
+    return pd.Series([None if t is None else _cut(t.encode(), _runs(() if r is None else r)).decode("utf-8", "replace") for t, r in zip(texts, removed, strict=True)])
 
 
 def line_dedup_report(docs: DataFrame) -> DataFrame:
@@ -145,16 +160,16 @@ def line_dedup_report(docs: DataFrame) -> DataFrame:
     def f(batch: pa.RecordBatch):
         import hashlib
 
-        texts, removed = batch.column("text").cast(pa.binary()).to_pylist(), batch.column("removed").to_pylist()
-        kept = [_cut(t, r or []) for t, r in zip(texts, removed, strict=True)]
+        texts, removed = batch.column("text").cast(pa.binary()).to_pylist(), [_runs(r or ()) for r in batch.column("removed").to_pylist()]
+        kept = [_cut(t, r) for t, r in zip(texts, removed, strict=True)]
         return pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
-                pa.array([len(r or ()) for r in removed], pa.int64()),
-                pa.array([sum(x["end"] - x["start"] for x in r or ()) for r in removed], pa.int64()),
+                pa.array([len(r) for r in removed], pa.int64()),
+                pa.array([sum(x["end"] - x["start"] for x in r) for r in removed], pa.int64()),
                 pa.array([len(k) for k in kept], pa.int64()),
                 pa.array([hashlib.sha256(k).hexdigest() for k in kept]),
-                pa.array([",".join(f"{x['start']}:{x['end']}:{x['keeper_doc_id']}" for x in r or ()) for r in removed]),
+                pa.array([",".join(f"{x['start']}:{x['end']}:{x['keeper_doc_id']}" for x in r) for r in removed]),
             ],
             ["doc_id", "n_removed", "removed_bytes", "kept_bytes", "kept_sha256", "spans"],
         )
