@@ -2,7 +2,8 @@
 
 Column expressions only. A pattern's matches and the pieces between them have
 the same order, so running lengths give offsets; each kind is two passes of a
-pattern that cannot backtrack over long runs. Offsets count code points, the
+pattern that cannot backtrack over long runs. An IBAN has its country's length, so
+that it ends before a word that follows. Offsets count code points, the
 end is exclusive. A null text is an empty one, a null doc_id is kept.
 """
 
@@ -15,13 +16,23 @@ from strandlake.llm.shared import text_or_empty
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban")
 
+# Lengths of IBANs in the registry, with the countries that have them.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN = "|".join(rf"(?<=(?:{c.replace(' ', '|')})[0-9]{{2}})(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+_IBAN_ELSE = rf"(?<!(?:{'|'.join(IBAN_LENGTHS.values()).replace(' ', '|')})[0-9]{{2}})(?:\x20?[A-Z0-9]){{11,30}}+"
+
 #: Same matches as the plain patterns, with possessive runs that start at a run's first character.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"[0-9](?<![0-9][0-9])[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"[A-Z](?<![A-Za-z0-9][A-Z])[A-Z][0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": r"[A-Z](?<![A-Za-z0-9][A-Z])[A-Z][0-9]{2}(?:%s|%s)(?![A-Za-z0-9])" % (_IBAN, _IBAN_ELSE),
 }
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 
