@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.shared import join_checked, map_arrow, text_or_empty, written
+from strandlake.llm.shared import join_checked, map_arrow, text_key, text_or_empty, written
 from strandlake.llm.words import shingle_sets
 
 #: Share of an item's shingles, in percent, that a document must have.
@@ -109,9 +109,14 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> D
     Items of fewer than five words are one shingle and only match texts of the
     same words; items without words match nothing.
     """
+    return _contaminated(docs, items, percent).drop("key")
+
+
+def _contaminated(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """Rows of contaminated, with the key of the text, as rows may share a doc_id."""
     spark = docs.sparkSession
-    schema = "doc_id long, item_id long, common long, n_item long, containment double"
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    schema = "doc_id long, key binary, item_id long, common long, n_item long, containment double"
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), text_or_empty().alias("text"))
     found = None
     for ids, texts in _blocks(items):
         hashes, at = shingle_sets(pa.array(texts, pa.string()))
@@ -121,11 +126,12 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> D
             if not held:
                 held.append(Items(*block.value))
             own, at = shingle_sets(batch.column("text"))
-            docs_, rows = batch.column("doc_id").to_pylist(), []
-            for d, s, e in zip(docs_, at[:-1], at[1:], strict=True):
+            rows = []
+            for d, (s, e) in enumerate(zip(at[:-1], at[1:], strict=True)):
                 rows += [(d, held[0].ids[k], c, n, c / n) for k, c, n in held[0].contained_in(own[s:e], percent)]
             c = list(zip(*rows, strict=True)) if rows else [()] * 5
-            return pa.table([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.float64())], ["doc_id", "item_id", "common", "n_item", "containment"])
+            of = pa.array(c[0], pa.int32())
+            return pa.table([batch.column("doc_id").take(of), batch.column("key").take(of), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.float64())], ["doc_id", "key", "item_id", "common", "n_item", "containment"])
 
         part = map_arrow(slim, f, schema)
         found = part if found is None else found.unionAll(part)
@@ -133,6 +139,7 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> D
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs without those that contain an item; columns as they were."""
-    gone = written(contaminated(docs, items, percent).select("doc_id").distinct(), "contaminated")
-    return join_checked(docs, gone, "doc_id", "left_anti", 24)
+    """docs without those that contain an item; columns as they were. Of rows that share a doc_id, or have none, only those whose text does go."""
+    gone = _contaminated(docs, items, percent).select(F.col("doc_id").alias("__doc__"), F.col("key").alias("__key__")).distinct()
+    keyed = docs.withColumns({"__doc__": F.col("doc_id").cast("long"), "__key__": text_key()})
+    return join_checked(keyed, written(gone, "contaminated"), ["__doc__", "__key__"], "left_anti", 64).select(docs.columns)

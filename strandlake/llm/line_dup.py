@@ -16,20 +16,15 @@ document, rows that share a doc_id, or have none, are not.
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.shared import join_checked, map_arrow, text_or_empty, written
+from strandlake.llm.shared import join_checked, map_arrow, text_key, text_or_empty, written
 
 #: Lines of the shortest run that counts.
 LEAST_LINES = 2
 
 
-def text_key(column: str = "text") -> Column:
-    """What tells the rows of one doc_id apart: a digest of the text, a null one being empty."""
-    return F.unhex(F.sha2(text_or_empty(column), 256))
-
-
 def line_windows(data: bytes) -> list[tuple[int, int]]:
     """Start byte and end byte (after the last line end) of each run of LEAST_LINES lines of a text."""
     lines = data.split(b"\n")
