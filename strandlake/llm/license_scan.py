@@ -6,7 +6,10 @@ templates and on random prose. The probability that a family needs is
 calibrated on held-out variations and prose so that hardly any prose passes. A
 predicted family must then share enough of one of its templates' word pairs.
 
-A paragraph is a line. Rows of one doc_id are each scanned; null and empty
+A line is scanned as a paragraph. Notices that are wrapped over lines, or stand
+inside of a long one, are windows of about a template's length within
+consecutive lines with words: those with enough of the template's pairs are
+classified by themselves. Rows of one doc_id are each scanned; null and empty
 texts have no paragraphs.
 """
 
@@ -143,8 +146,72 @@ def _template_pairs() -> list[list[np.ndarray]]:
     return out
 
 
+@cache
+def _all_pairs() -> np.ndarray:
+    return np.unique(np.concatenate([t for own in _template_pairs() for t in own]))
+
+
+def _windows(pairs: np.ndarray, paragraph: np.ndarray, own: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
+    """Of windows with enough of a template's pairs own, the fullest that do not overlap: pairs found, first and last word. Pairs are those at words at."""
+    need, most = int(np.ceil(SHARED * len(own) - 1e-9)), 2 * len(own) + 4
+    live = np.isin(pairs, own)
+    pairs, paragraph, hit = pairs[live], paragraph[live], at[live]
+    n, found = len(hit), []
+    if n < need:
+        return []
+    near, far = slice(0, n - need + 1), slice(need - 1, n)
+    for k in np.flatnonzero((hit[far] - hit[near] < most) & (paragraph[far] == paragraph[near])).tolist():
+        seen, last = set(), k
+        for i in range(k, int(np.searchsorted(hit, hit[k] + most))):
+            if paragraph[i] != paragraph[k]:
+                break
+            if pairs[i] not in seen:
+                seen.add(pairs[i])
+                last = i
+        if len(seen) >= need:
+            found.append((len(seen), int(hit[k]), int(hit[last]) + 1))
+    return _apart(found)
+
+
+def _apart(found: list[tuple]) -> list[tuple]:
+    """Those with the most pairs, then the shortest, that do not overlap others."""
+    out: list[tuple] = []
+    for x in sorted(found, key=lambda x: (-x[0], x[2] - x[1], x[1])):
+        if all(x[2] < y[1] or y[2] < x[1] for y in out):
+            out.append(x)
+    return out
+
+
+def _spread(words: np.ndarray, first: np.ndarray, doc: np.ndarray, taken: list[tuple], trained: tuple) -> list[tuple[int, int, int, float, float]]:
+    """Family, first and last word, probability and shared of notices over several lines or within one, apart from lines taken."""
+    weights, bias, least = trained
+    if len(words) < 2:
+        return []
+    line = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    new = (np.diff(line) > 1) | (np.diff(doc[line]) > 0)
+    paragraph = np.concatenate(([0], np.cumsum(new)))
+    pairs = np.zeros(len(words), np.uint64)
+    pairs[:-1] = np.where(new, _U(0), mix(words[:-1] * _U(0x9E3779B97F4A7C15) + words[1:]))
+    at = np.flatnonzero(np.isin(pairs, _all_pairs()))  # few; only their surroundings are looked at
+    found = []
+    for k, notices in enumerate(_template_pairs()):
+        for own in notices:
+            for n, s, e in _windows(pairs[at], paragraph[at], own, at):
+                if any((k == f and s <= y and x <= e) or (s <= v and u <= e) for f, x, y, u, v in taken):
+                    continue
+                mine = pairs[s : e + 1].copy()
+                mine[-1] = 0
+                p = _probabilities(_sums(weights, words[s : e + 1], mine, np.array([e + 1 - s])) + bias)[0]
+                if p.argmax() == k and p[k] >= least:
+                    found.append((n, s, e, k, float(p[k]), n / len(own)))
+    return [(k, s, e, p, shared) for _, s, e, k, p, shared in _apart(found)]
+
+
 def scan_licenses(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph (line number from 0), start, end (code points), family, probability and shared for each notice."""
+    """doc_id, paragraph (line number from 0, of its start), start, end (code points), family, probability and shared for each notice.
+
+    A line that is a notice counts as a whole, others from their first to their last word of the template.
+    """
     trained = docs.sparkSession.sparkContext.broadcast(model())  # fixed size
 
     def f(batch: pa.RecordBatch):
@@ -157,21 +224,32 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
             starts = starts[starts < len(part)]
             if not len(starts):
                 continue
-            words, _, _, first = word_runs(_PLAIN[part], np.append(starts, len(part)))
+            words, begins, stops, first = word_runs(_PLAIN[part], np.append(starts, len(part)))
             words, pairs, counts = _grams(words, first)
+            taken = []
             p = _probabilities(_sums(weights, words, pairs, counts) + bias)
             best = p[:, :-1].argmax(1)
             sure = p[np.arange(len(p)), best]
             for k in np.flatnonzero((sure >= least) & (p.argmax(1) == best) & (counts > 0)):
                 mine = pairs[first[k] : first[k + 1]]
-                shared = max(np.isin(t, mine).mean() for t in _template_pairs()[best[k]])
+                shares = [np.isin(t, mine).mean() for t in _template_pairs()[best[k]]]
+                shared = max(shares)
                 if shared >= SHARED:
+                    inside = np.flatnonzero(np.isin(mine, _template_pairs()[best[k]][int(np.argmax(shares))])) + first[k]
+                    taken.append((best[k], first[k], first[k + 1] - 1, inside[0], inside[-1] + 1))
                     d = int(np.searchsorted(at, starts[k], "right")) - 1
                     end = starts[k + 1] if k + 1 < len(starts) else len(part)
                     before = part[at[d] : starts[k]].tobytes()
                     line = part[starts[k] : min(end, at[d + 1])].tobytes().rstrip(b"\n").decode("utf-8", "replace")
                     s = len(before.decode("utf-8", "replace"))
                     rows.append((docs_[a + d], before.count(b"\n"), s, s + len(line), FAMILIES[best[k]], float(sure[k]), float(shared)))
+            for k, s, e, p, shared in _spread(words, first, np.searchsorted(at, starts, "right"), taken, trained.value):
+                x, y = np.searchsorted(first, [s, e], "right") - 1
+                d = int(np.searchsorted(at, starts[x], "right")) - 1
+                before = part[at[d] : begins[s] - x].tobytes()  # word_runs puts a space behind each line
+                c = len(before.decode("utf-8", "replace"))
+                size = len(part[begins[s] - x : stops[e] - y].tobytes().decode("utf-8", "replace"))
+                rows.append((docs_[a + d], before.count(b"\n"), c, c + size, FAMILIES[k], p, shared))
         types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64())
         names = ["doc_id", "paragraph", "start", "end", "family", "probability", "shared"]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 7, types, strict=True)], names)
