@@ -1,5 +1,6 @@
 """Storage access that does not assume a local disk."""
 
+import re
 import uuid
 
 import pyarrow.fs as pafs
@@ -52,12 +53,42 @@ def first_line(path: str) -> bytes | None:
     return got.split(b"\n", 1)[0].rstrip(b"\r\n")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the folder that driver and executors share."""
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder below spark.checkpoint.dir, which driver and executors share; gone when the driver ends.
+
+    An unset spark.checkpoint.dir is set here for a local master; on a cluster it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         import tempfile
 
-        base = tempfile.gettempdir() + "/strandlake"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.gettempdir() + "/checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    run = f"{base.rstrip('/')}/run-{spark.sparkContext.applicationId}"
+    if run not in _RUNS:
+        path, fs = _hadoop(spark, run)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _RUNS.add(run)
+    return run
+
+
+_RUNS: set[str] = set()
+
+
+def _hadoop(spark: SparkSession, at: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, at: str) -> None:
+    """Removes a file or folder of any store that Spark knows."""
+    path, fs = _hadoop(spark, at)
+    fs.delete(path, True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the folder that driver and executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
