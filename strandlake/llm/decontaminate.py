@@ -142,4 +142,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, percent: int = PERCENT) ->
     """docs without those that contain an item; columns as they were. Of rows that share a doc_id, or have none, only those whose text does go."""
     gone = _contaminated(docs, items, percent).select(F.col("doc_id").alias("__doc__"), F.col("key").alias("__key__")).distinct()
     keyed = docs.withColumns({"__doc__": F.col("doc_id").cast("long"), "__key__": text_key()})
-    return join_checked(keyed, written(gone, "contaminated"), ["__doc__", "__key__"], "left_anti", 64).select(docs.columns)
+    return join_checked(keyed, written(gone, "contaminated"), ["__doc__", "__key__"], "left_anti").select(docs.columns)

@@ -127,7 +127,7 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         types = (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.int32())
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "key", "n_bytes", "digests", "own", "borrows"])
 
-    both = join_checked(texts, lists, "doc_id", "left", 96)
+    both = join_checked(texts, lists, "doc_id", "left")
     return written(map_arrow(both, f, "doc_id long, key binary, n_bytes long, digests array<binary>, own array<binary>, borrows int"), "media-store"), borrowed
 
 
@@ -135,11 +135,11 @@ def read_back(stored: DataFrame, borrowed: DataFrame) -> DataFrame:
     """doc_id, n_bytes and the digest columns of each stored image, from stored bytes only."""
     wanted = borrowed.select(F.col("owner_doc").alias("doc_id"), F.col("owner_key").alias("owner_key"), F.col("owner_k").alias("owner_k"), "digest").distinct()
     wanted = written(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("owner_key", "owner_k", "digest")).alias("lent")), "media-lent")
-    lent = join_checked(stored, wanted, "doc_id", "inner", 96).select("key", "own", F.explode("lent").alias("x")).where("key = x.owner_key")
+    lent = join_checked(stored, wanted, "doc_id", "inner").select("key", "own", F.explode("lent").alias("x")).where("key = x.owner_key")
     lent = lent.select(F.col("x.digest").alias("digest"), F.get("own", F.col("x.owner_k")).alias("data")).dropDuplicates(["digest"])
     parts = borrowed.select("doc_id", "key", "k", "digest").join(lent, "digest").groupBy("doc_id", "key").agg(F.collect_list(F.struct("k", "data")).alias("parts"))
     whole = stored.where("borrows = 0").select("doc_id", "key", "n_bytes", "own", F.lit(None).cast("array<struct<k:int,data:binary>>").alias("parts"))
-    mixed = join_checked(stored.where("borrows > 0"), parts, ["doc_id", "key"], "left", None).select(whole.columns)
+    mixed = join_checked(stored.where("borrows > 0"), parts, ["doc_id", "key"], "left", payload=True).select(whole.columns)
 
     def f(batch: pa.RecordBatch):
         rows = []

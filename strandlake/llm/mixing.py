@@ -98,12 +98,12 @@ def plan(slim: DataFrame, seed: str = SEED, percent: int = BUDGET_PERCENT, epoch
     leaves = leaf_budgets(slim, percent, epochs)
     whole = F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(0)
     leaves = written(leaves.withColumn("whole", whole.cast("long")).withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens")), "leaf-budgets")
-    last = join_checked(slim, leaves.where("rest > 0"), LEAF, "inner", 200).withColumn("h", _order(F.col("whole"), seed))
+    last = join_checked(slim, leaves.where("rest > 0"), LEAF, "inner").withColumn("h", _order(F.col("whole"), seed))
     last = last.withColumn("bucket", _bucket(F.col("h"), F.col("n_docs")))
     sums = last.groupBy(*LEAF, "bucket", "rest").agg(F.sum("n_tokens").alias("t"))
     upto = F.sum("t").over(W.partitionBy(*LEAF).orderBy("bucket"))
     cut = written(sums.withColumn("upto", upto).where("upto > rest and upto - t <= rest").select(*LEAF, F.col("bucket").alias("cut"), (F.col("upto") - F.col("t")).alias("used")), "mix-cuts")
-    inside = join_checked(last, cut, LEAF, "inner", 200).where("bucket = cut")
+    inside = join_checked(last, cut, LEAF, "inner").where("bucket = cut")
     seen = F.col("used") + F.sum("n_tokens").over(W.partitionBy(*LEAF).orderBy("h", "doc_id"))  # peers count together
     ends = inside.withColumn("seen", seen).where("seen <= rest").groupBy(*LEAF).agg(F.max(F.struct("h", "doc_id")).alias("end"))
     return written(leaves.join(cut, LEAF, "left").join(ends, LEAF, "left").select(*LEAF, "n_docs", "whole", "rest", "cut", F.col("end.h").alias("end_h"), F.struct(F.col("end.h").alias("h"), F.col("end.doc_id").alias("doc_id")).alias("end")), "mix-plan")
@@ -111,7 +111,7 @@ def plan(slim: DataFrame, seed: str = SEED, percent: int = BUDGET_PERCENT, epoch
 
 def _chosen(rows: DataFrame, leaves: DataFrame, seed: str) -> DataFrame:
     """rows (with the leaf's columns) once for each epoch that takes them, with epoch."""
-    out = join_checked(rows, leaves, LEAF, "inner", 240).withColumn("_h", _order(F.col("whole"), seed))
+    out = join_checked(rows, leaves, LEAF, "inner").withColumn("_h", _order(F.col("whole"), seed))
     b = _bucket(F.col("_h"), F.col("n_docs"))
     into = (F.col("rest") > 0) & (F.col("cut").isNull() | (b < F.col("cut")) | ((b == F.col("cut")) & F.col("end_h").isNotNull() & (F.struct(F.col("_h").alias("h"), F.col("doc_id").alias("doc_id")) <= F.col("end"))))
     times = F.col("whole") + F.coalesce(into, F.lit(False)).cast("long")

@@ -288,4 +288,4 @@ def drop_near_dups(docs: DataFrame, percent: int = 85) -> DataFrame:
     from strandlake.llm.shared import join_checked
 
     gone = near_dup_groups(docs, percent).where("not kept").select("doc_id").distinct()
-    return join_checked(docs, written(gone, "near-gone"), "doc_id", "left_anti", 24)
+    return join_checked(docs, written(gone, "near-gone"), "doc_id", "left_anti")

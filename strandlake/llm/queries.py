@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query
 def op1_substring_dedup(spark, sf_dir):
-    """doc_id, start, end, keeper_doc_id, keeper_start of each removed unit."""
+    """doc_id, start, end, keeper_doc_id, keeper_start of each line, or sentence in a line, that goes."""
     return substring_dup.repeated_units(table(spark, sf_dir, "documents"))
 
 

@@ -1,53 +1,66 @@
 """Storage, joins and Arrow plumbing that the operators share."""
 
-import re
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of a side that may be broadcast, and what they may take together.
+from strandlake.sources import paths
+
+#: Rows of a side that may be broadcast, and their measured bytes together.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 48 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset, and not on a cluster."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        import tempfile
-
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-
-        base = "file://" + tempfile.gettempdir() + "/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
+    """Folder that driver and executors share, with Spark's checkpoints in it too."""
+    at = paths.shared_folder(spark)
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+        spark.sparkContext.setCheckpointDir(at)
+    return at
 
 
 def written(frame: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """The frame as a Parquet table in the shared folder: computed once, no lineage, safe from lost executors."""
-    at = f"{shared_folder(frame.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    """The frame as a Parquet table in the shared folder: computed once, no lineage, safe from lost executors.
+
+    The table goes with the application's folder when the driver ends.
+    """
+    at = paths.scratch(frame.sparkSession, name)
     frame.write.option("compression", codec).parquet(at)
     return frame.sparkSession.read.schema(frame.schema).parquet(at)
 
 
-def small_enough(frame: DataFrame, row_bytes: int) -> bool:
-    """The frame has few enough rows to broadcast at so many bytes a row; stops counting at the bound."""
-    most = min(BROADCAST_ROWS, BROADCAST_BYTES // max(1, row_bytes))
-    return frame.limit(most + 1).count() <= most
+def row_bytes(x: Column, kind: T.DataType) -> Column:
+    """About what a value takes in memory: texts and lists by their real length."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(x), F.lit(0)).cast("long") + 16
+    if isinstance(kind, T.StructType):
+        return sum((row_bytes(x[f.name], f.dataType) for f in kind.fields), F.lit(16).cast("long"))
+    if isinstance(kind, T.ArrayType):
+        own = F.aggregate(x, F.lit(16).cast("long"), lambda n, y: n + row_bytes(y, kind.elementType))
+        return F.coalesce(own, F.lit(16).cast("long"))
+    return F.lit(16 if isinstance(kind, T.DecimalType) else 8).cast("long")
+
+
+def small_enough(frame: DataFrame) -> bool:
+    """The frame has few enough rows and bytes to broadcast; rows are counted up to the bound, bytes measured only below it."""
+    if frame.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return False
+    taken = sum((row_bytes(F.col(f"`{f.name}`"), f.dataType) for f in frame.schema.fields), F.lit(16).cast("long"))
+    return (frame.agg(F.sum(taken)).first()[0] or 0) <= BROADCAST_BYTES
 
 
-def join_checked(big: DataFrame, side: DataFrame, on: list[str] | str, how: str, row_bytes: int | None) -> DataFrame:
-    """A join that broadcasts side only if it was counted and is small; else Spark shuffles and splits skewed keys.
+def join_checked(big: DataFrame, side: DataFrame, on: list[str] | str, how: str, payload: bool = False) -> DataFrame:
+    """A join that broadcasts side only if it was measured and is small; else a sort-merge join.
 
-    With row_bytes None it is never broadcast, as for sides that carry payloads. Nulls match nulls.
+    side should be a written table: then both sides are shuffled as they are,
+    with no aggregate in the join's stage, and adaptive execution can split the
+    partition of a key with very many rows. A side with payloads is never
+    broadcast. Nulls match nulls.
     """
     on = [on] if isinstance(on, str) else on
-    side = F.broadcast(side) if row_bytes is not None and small_enough(side, row_bytes) else side.hint("shuffle_merge")
+    side = side.hint("shuffle_merge") if payload or not small_enough(side) else F.broadcast(side)
     keys = [f"__side_key_{k}" for k in range(len(on))]
     side = side.withColumnsRenamed(dict(zip(on, keys, strict=True)))
     cond = F.lit(True)
@@ -98,5 +111,5 @@ def text_or_empty(column: str = "text") -> Column:
 
 
 def text_key(column: str = "text") -> Column:
-    """What tells the rows of one doc_id apart: a digest of the text, a null one being empty."""
-    return F.unhex(F.sha2(text_or_empty(column), 256))
+    """What tells the rows of one doc_id apart: half a SHA-256 of the text, a null one being empty."""
+    return F.substring(F.unhex(F.sha2(text_or_empty(column), 256)), 1, 16)

@@ -1,11 +1,23 @@
-"""Repeated passages: hashes of normalised units, the earliest occurrence stays.
-
-A unit is a sentence within a line, or a line, or a paragraph. Units of enough
-words are normalised (A-Z in lower case, runs of white space as one space) and
-hashed to 128 bits; occurrences are grouped by hash over all documents. The
-occurrence with the least (doc_id, start) stays, all others are removed, also
-within one document. Sentences are the default, since copied passages need not
-begin or end with a line.
+"""Repeated lines and the sentences in them: hashes of normalised units, the earliest occurrence stays.
+
+A unit is a line with a word in it. It is normalised (A-Z in lower case, runs
+of white space as one space) and hashed to 128 bits; occurrences are grouped by
+hash over all documents, the earliest in the order of (doc_id, text digest,
+start) stays and all others go, also within one document.
+
+Copied passages need not begin and end with a line, so that lines alone leave
+many of them whole. Lines that stay are therefore looked up once more by their
+sentences, in the same way; sentences have LEAST_WORDS words, as shorter ones
+repeat by chance within different lines. A paragraph, whose lines then count as
+one unit, is the other choice of unit.
+
+Spans are code points of the original text, the end exclusive. Rows of one
+doc_id with equal texts are one document repeated, all of whose rows stay or
+go; rows that share a doc_id, or have none, but differ in their texts are
+documents of their own. A null doc_id ranks last. Null and empty texts have no
+units, and an empty table gives an empty one. A text of any length is one row;
+other columns, whatever their names, are passed on by cut_spans and not looked
+at otherwise.
 """
 
 import re
@@ -16,63 +28,86 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.shared import join_checked, map_arrow, text_or_empty, written
+from strandlake.llm.shared import join_checked, map_arrow, text_key, text_or_empty, written
 
-#: Units with fewer words stay: short ones repeat by chance.
+#: Sentences within a unit that are looked up by themselves have so many words.
 LEAST_WORDS = 5
 
-# What ends a unit.
-ENDS = {
-    "sentence": re.compile(r"[^\n]*?[.!?]+(?=\s|$)|[^\n]+"),
-    "line": re.compile(r"[^\n]+"),
-    "paragraph": re.compile(r"(?:[^\n]|\n(?!\s*\n))+"),
-}
+# Units, and sentences within them.
+UNITS = {"line": re.compile(r"[^\n]+"), "paragraph": re.compile(r"(?:[^\n]|\n(?!\s*\n))+")}
+SENTENCE = re.compile(r"[^\n]*?[.!?]+(?=\s|$)|[^\n]+")
 _LOWER = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
 
 
-def units(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, start, length (in code points) and the hash h1, h2 of each unit with enough words."""
-    ends = ENDS[unit]
+def spans_of(text: str, unit: str, sentences: bool, least_words: int):
+    """Unit number, start, end, whether it is a sentence, and normalised words of all that is looked up in a text."""
+    low = text.lower() if text.isascii() else text.translate(_LOWER)
+    for k, m in enumerate(UNITS[unit].finditer(low)):
+        if words := m[0].split():
+            yield k, m.start(), m.end(), False, words
+            if sentences and len(words) >= least_words:
+                for s in SENTENCE.finditer(m[0]):
+                    if len(own := s[0].split()) >= least_words:
+                        yield k, m.start() + s.start(), m.start() + s.end(), True, own
+
+
+def units(docs: DataFrame, unit: str = "line", sentences: bool = True, least_words: int = LEAST_WORDS) -> DataFrame:
+    """doc_id, key (of the text), unit (its number), inner (a sentence), start, length (in code points) and the hash h1, h2."""
 
     def f(batch: pa.RecordBatch):
-        ids, starts, lengths, digests = [], [], [], []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            low = text.translate(_LOWER) if not text.isascii() else text.lower()
-            for m in ends.finditer(low):
-                words = m[0].split()
-                if len(words) >= least_words:
-                    ids.append(doc)
-                    starts.append(m.start())
-                    lengths.append(m.end() - m.start())
-                    digests.append(xxhash.xxh3_128_digest(" ".join(words)))
-        both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(lengths, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["doc_id", "start", "length", "h1", "h2"])
-
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), text_or_empty()), f, "doc_id long, start int, length int, h1 long, h2 long")
-
-
-def repeated_units(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_WORDS) -> DataFrame:
-    """One row for each removed occurrence: doc_id, start, end, keeper_doc_id, keeper_start, in original code points.
-
-    Rows of one doc_id count as one document: a unit at the same place of two
-    of them is one occurrence. A null doc_id ranks last; a null or empty text
-    has no units.
+        rows, digests = [], []
+        for d, text in enumerate(batch.column("text").to_pylist()):
+            for k, s, e, inner, words in spans_of(text, unit, sentences, least_words):
+                rows.append((d, k, inner, s, e - s))
+                digests.append(xxhash.xxh3_128_digest(" ".join(words), seed=inner))
+        c = list(zip(*rows, strict=True)) if rows else [()] * 5
+        of, both = pa.array(c[0], pa.int32()), np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id").take(of), batch.column("key").take(of), pa.array(c[1], pa.int32()), pa.array(c[2], pa.bool_()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())],
+            ["doc_id", "key", "unit", "inner", "start", "length", "h1", "h2"],
+        )
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"), text_or_empty().alias("text"))
+    return map_arrow(slim, f, "doc_id long, key long, unit int, inner boolean, start int, length int, h1 long, h2 long")
+
+
+def _key():
+    """The first eight bytes of the text's SHA-256, as a number in their order."""
+    return F.conv(F.substring(F.hex(text_key()), 1, 16), 16, -10).cast("long").bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def repeated_units(docs: DataFrame, unit: str = "line", sentences: bool = True, least_words: int = LEAST_WORDS) -> DataFrame:
+    """One row for each removed occurrence: doc_id, start, end, keeper_doc_id, keeper_start, in original code points. Spans do not overlap."""
+    return _repeated(docs, unit, sentences, least_words).drop("key")
+
+
+def _repeated(docs: DataFrame, unit: str, sentences: bool, least_words: int) -> DataFrame:
+    """Rows of repeated_units, with the key of the text.
+
+    Either side of the join on a hash is a written table, so that one very
+    common unit is a skewed partition that Spark splits. The earliest place of
+    a sentence is never in a unit that goes, as the same unit stands earlier
+    then: removed sentences need only be kept out of removed units.
     """
-    found = written(units(docs, unit, least_words), "units")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("start").alias("start"))
-    keepers = found.groupBy("h1", "h2").agg(F.min(place).alias("keeper"), F.max(place).alias("other")).where("keeper <> other").select("h1", "h2", "keeper")
-    again = found.join(keepers, ["h1", "h2"])
-    return again.where(~place.eqNullSafe(F.col("keeper"))).select(
-        "doc_id", "start", (F.col("start") + F.col("length")).alias("end"), F.col("keeper.doc_id").alias("keeper_doc_id"), F.col("keeper.start").alias("keeper_start")
-    )
+    found = written(units(docs, unit, sentences, least_words), "units")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "start")
+    keepers = found.groupBy("h1", "h2").agg(F.min(place).alias("keeper"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "keeper")
+    again = found.join(written(keepers, "units-kept").hint("shuffle_merge"), ["h1", "h2"]).where(~place.eqNullSafe(F.col("keeper")))
+    gone = again.select("doc_id", "key", "unit", "inner", "start", (F.col("start") + F.col("length")).alias("end"), F.col("keeper.doc_id").alias("keeper_doc_id"), F.col("keeper.start").alias("keeper_start"))
+    if sentences:
+        gone = written(gone, "units-gone")
+        whole = written(gone.where("not inner").select("doc_id", "key", "unit").distinct(), "units-whole")
+        gone = gone.where("not inner").unionByName(join_checked(gone.where("inner"), whole, ["doc_id", "key", "unit"], "left_anti"))
+    return gone.drop("unit", "inner")
 
 
-def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with the spans (doc_id, start, end) taken out of text; other columns as they were.
+def cut_spans(docs: DataFrame, unit: str = "line", sentences: bool = True, least_words: int = LEAST_WORDS) -> DataFrame:
+    """docs with repeated units taken out of text; other columns as they were.
 
     A document that has nothing but white space left becomes an empty text.
     """
-    lists = spans.distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans__"))  # no more than a text has
+    gone = _repeated(docs, unit, sentences, least_words)
+    lists = gone.groupBy(F.col("doc_id").alias("__doc__"), F.col("key").alias("__key__")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__spans__"))  # no more than a text has
 
     @F.pandas_udf("string")
     def cut(texts, all_spans):
@@ -81,8 +116,8 @@ def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
             if text is not None and own is not None and len(own):
                 kept, at = [], 0
                 for s in own:
-                    kept.append(text[at : max(at, s["start"])])
-                    at = max(at, s["end"])
+                    kept.append(text[at : s["start"]])
+                    at = s["end"]
                 text = "".join([*kept, text[at:]])
                 text = text if text.strip() else ""
             out.append(text)
@@ -90,6 +125,6 @@ def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
         return pd.Series(out)
 
-    text = docs["text"]
-    joined = join_checked(docs, written(lists, "spans"), "doc_id", "left", 64)
-    return joined.withColumn("text", F.when(F.col("__spans__").isNull(), text).otherwise(cut("text", "__spans__"))).select(docs.columns)
+    keyed = docs.withColumns({"__doc__": F.col("doc_id").cast("long"), "__key__": _key()})
+    joined = join_checked(keyed, written(lists, "spans"), ["__doc__", "__key__"], "left")
+    return joined.withColumn("text", F.when(F.col("__spans__").isNull(), F.col("text")).otherwise(cut("text", "__spans__"))).select(docs.columns)

@@ -130,7 +130,7 @@ def write_streams(pages: DataFrame) -> DataFrame:
     rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     long = rows.where(F.octet_length("html") >= LEAST).select("digest", "page_id")
     again = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    marked = join_checked(rows, written(again, "warc-again"), "digest", "left", 120)
+    marked = join_checked(rows, written(again, "warc-again"), "digest", "left")
     marked = marked.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
 
     def run(batches):

@@ -10,8 +10,10 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
+from test_whole_lines import pairs_brute
 
-from strandlake.llm import decontaminate, license_scan, line_dup, media, mixing, near_dup, quality, substring_dup, warc, words
+from strandlake.llm import decontaminate, license_scan, media, mixing, near_dup, quality, substring_dup, warc, words
 
 DATA = "/root/testdata/sf0.001"
 LONG = "lorem ipsum dolor sit amet " * 4000 + "z" * 30_000
@@ -119,53 +121,54 @@ def test_components(spark):
     assert got == {k: 1 for k in range(1, 61)} | {k: 100 for k in range(100, 160)} | {200: 200, 201: 200}
 
 
-def test_substring(docs, odd, none):
-    def brute(rows):
-        seen = defaultdict(set)
-        for doc, text in rows:
-            for m in re.finditer(r"[^\n]*?[.!?]+(?=\s|$)|[^\n]+", text or ""):
-                w = re.sub("[A-Z]", lambda c: c[0].lower(), m[0]).split()
+def lower(text):
+    return re.sub("[A-Z]", lambda c: c[0].lower(), text)
+
+
+def units_brute(rows):
+    """Lines that stand earlier, then sentences of five words or more in the other lines that stand earlier anywhere."""
+    order, lines, inner = {}, defaultdict(set), defaultdict(set)
+    for doc, text in rows:
+        text = text or ""
+        key = hashlib.sha256(text.encode()).digest()
+        at = 0
+        for line in text.split("\n"):
+            if w := lower(line).split():
+                lines[" ".join(w)].add((doc is None, doc or 0, key, at, at + len(line)))
                 if len(w) >= 5:
-                    seen[" ".join(w)].add((doc is None, doc or 0, m.start(), m.end()))
-        return sorted((p[1], p[2], p[3], min(s)[1], min(s)[2]) for s in seen.values() for p in s if p != min(s))
+                    for m in re.finditer(r".*?[.!?]+(?=\s|$)|.+", line):
+                        if len(v := lower(m[0]).split()) >= 5:
+                            inner[" ".join(v)].add((doc is None, doc or 0, key, at + m.start(), at + m.end(), at))
+            at += len(line) + 1
+    out, whole = [], set()
+    for places in lines.values():
+        for p in places - {min(places)}:
+            out.append((p, min(places)))
+            whole.add(p[:4])
+    for places in inner.values():
+        out += [(p, min(places)) for p in places - {min(places)} if (*p[:3], p[5]) not in whole]
+    return sorted((p[1], p[3], p[4], k[1], k[3]) for p, k in out)
+
 
+def test_substring(docs, odd, none):
     for frame in (docs, odd, none):
         got = substring_dup.repeated_units(frame).distinct().collect()
-        assert sorted((r.doc_id or 0, r.start, r.end, r.keeper_doc_id or 0, r.keeper_start) for r in got) == brute([(d.doc_id, d.text) for d in frame.collect()])
-    cut = substring_dup.cut_spans(odd, substring_dup.repeated_units(odd).select("doc_id", "start", "end"))
-    assert cut.columns == odd.columns and {(r.doc_id, r.text) for r in cut.collect() if r.doc_id in (1, 2)} == {(1, TEXT), (2, "")}
-
-
-def cut_brute(rows):
-    first, out = {}, []
-    for doc, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
-        data, kept, gone = (text or "").encode(), b"", False
-        parts = line_dup.line_chunks(data)
-        assert b"".join(data[s:e] for s, e, _ in parts) == data and all(n >= 2 for _, _, n in parts[:-1])
-        for s, e, n in parts:
-            mark = data[s:e].rstrip(b"\n")
-            if n >= 2 and first.setdefault(mark, (doc, s)) != (doc, s):
-                gone = True
-            else:
-                kept += data[s:e]
-        out.append((doc, (kept.rstrip(b"\n") if gone else data).decode(), gone))
-    return out
-
-
-def test_line_dedup(docs, odd, none):
-    for frame in (docs, odd, none):
-        want = cut_brute([(d.doc_id, d.text) for d in frame.collect()])
-        got = line_dup.line_dedup_report(frame).collect()
-        assert sorted((r.doc_id or 0, r.kept_sha256) for r in got) == sorted((d or 0, hashlib.sha256(t.encode()).hexdigest()) for d, t, _ in want)
-        kept = line_dup.dedup_lines(frame)
-        assert kept.columns == frame.columns
-        assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted((d or 0, t) for d, t, gone in want if not gone or t.strip())
-        texts = {(d.doc_id, d.text) for d in frame.collect()}
-        assert all(r.n_chars == len(r.text) for r in kept.collect() if (r.doc_id, r.text) not in texts)
-    lines = [f"line {k}" for k in range(200)]
-    whole, moved = "\n".join(lines).encode(), "\n".join(["new", *lines]).encode()
-    cuts = lambda x: {x[s:e].rstrip(b"\n") for s, e, _ in line_dup.line_chunks(x)}
-    assert len(cuts(whole) & cuts(moved)) >= len(cuts(whole)) - 2
+        assert sorted((r.doc_id or 0, r.start, r.end, r.keeper_doc_id or 0, r.keeper_start) for r in got) == units_brute([(d.doc_id, d.text) for d in frame.collect()])
+    cut = substring_dup.cut_spans(odd)
+    assert cut.columns == odd.columns and {(r.doc_id, r.text) for r in cut.collect() if r.doc_id in (1, 2, None)} == {(1, TEXT), (2, ""), (None, "")}
+
+
+def test_units_of_odd_rows(spark):
+    """Rows without an id are documents by their texts; sentences within lines; very long texts."""
+    long = f"{'x' * 3_000_000} {'word ' * 3_000_000}"
+    rows = [(None, "a first line here.\nanother of this text"), (None, "clean and whole\nin all of its two lines"), (3, "Head. so it is by now here. A first line HERE."), (4, long), (5, f"{long}\nof its own."), (6, "Of  its own.\nBefore it. so it is by now here. and more")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, start int")
+    got = substring_dup.repeated_units(docs).collect()
+    assert sorted((r.doc_id, r.keeper_doc_id) for r in got) == [(5, 4), (6, 3), (6, 5)]
+    want = [*(r[1] for r in rows[:4]), "\nof its own.", "\nBefore it. and more"]
+    assert sorted(r.text for r in substring_dup.cut_spans(docs).collect()) == sorted(want)
+    assert sorted((r.doc_id, r.keeper_doc_id) for r in substring_dup.repeated_units(docs, sentences=False).collect()) == [(5, 4), (6, 5)]
+    assert [r.doc_id for r in substring_dup.repeated_units(docs.unionByName(docs.where("doc_id = 3").withColumn("doc_id", F.lit(9).cast("long"))), "paragraph", False).collect()] == [9]
 
 
 def test_decontaminate(spark, docs, odd, none):
@@ -282,9 +285,10 @@ def test_pipeline(spark, docs):
         if name == "quality":
             want = sorted((r.doc_id, dict(before)[r.doc_id]) for r in quality.score_documents(now, labels).collect() if r.predicted)
         elif name == "line_dedup":
-            want = sorted((d, t) for d, t, gone in cut_brute(before) if not gone or t.strip())
+            kept = pairs_brute(sorted(before))
+            want = sorted((d, kept[d].decode()) for d, t in before if kept[d] == t.encode() or kept[d].strip())
         elif name == "near_dedup":
-            want = sorted(r for r in before if grouped(dict(before))[0][r[0]] == r[0])
+            want = sorted(r for r in before if grouped(dict(before), corpus_pipeline.NEAR_PERCENT)[0][r[0]] == r[0])
         elif name == "benchmark_decontamination":
             items = [shingles(i.text) for i in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
             want = sorted(r for r in before if not any(100 * len(s & shingles(r[1])) >= 80 * len(s) for s in items))
