@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.sources.paths import scratch
+
 
 def last_wins(rows: DataFrame, key: str, order: Column) -> DataFrame:
     """The row with the greatest order for each key; partial results are made before the shuffle."""
@@ -20,6 +22,34 @@ def file_order() -> Column:
     return F.struct("file", "block", "ord")
 
 
+def write_keyed(rows: DataFrame, key: str, at: str) -> DataFrame:
+    """The rows as Parquet with bloom filters on the key, so that a lookup skips row groups without it."""
+    rows.write.option("compression", "lz4").option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(at)
+    return rows.sparkSession.read.schema(rows.schema).parquet(at)
+
+
+def repeated_ids(table: DataFrame) -> DataFrame | None:
+    """Ids that a table has more than once; None without such ids."""
+    twice = table.groupBy("id").count().where("count > 1").select("id")
+    twice = write_keyed(twice, "id", scratch(table.sparkSession, "twice"))
+    return None if twice.isEmpty() else twice
+
+
+def latest(table: DataFrame, twice: DataFrame | None) -> DataFrame:
+    """id, sequence and quality of a stored scan, the last record of each id in twice."""
+    rows = table.select("id", "sequence", "quality")
+    if twice is None:
+        return rows
+    last = last_wins(table.join(twice, "id", "left_semi"), "id", file_order())
+    return rows.join(twice, "id", "left_anti").unionAll(last.select(rows.columns))
+
+
 def dedup_scan(scan: DataFrame) -> DataFrame:
-    """id, sequence and quality of a scan; the last record of an id stays."""
-    return last_wins(scan, "id", file_order()).select("id", "sequence", "quality")
+    """id, sequence and quality of a scan; the last record of an id stays.
+
+    The scan is parsed once, into a table. Only ids are grouped, and only
+    records of ids that occur twice are compared: sequences of others are never
+    shuffled. Without such ids the table is the result.
+    """
+    table = write_keyed(scan, "id", scratch(scan.sparkSession, "scan"))
+    return latest(table, repeated_ids(table))

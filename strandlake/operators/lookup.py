@@ -63,3 +63,8 @@ def batch_stored_size(keys: DataFrame, pairs: DataFrame) -> DataFrame:
     n = F.when(F.col("kind") == "FASTQ", of("sequence") + of("quality")).otherwise(of("data"))
     out = keys.join(pairs.select("key", n.alias("_n")), "key", "left")
     return out.select(*keys.columns, F.coalesce("_n", F.lit(0).cast("bigint")).alias("stored_size"))
+
+
+def first_in_file(scan: DataFrame, key: str) -> DataFrame:
+    """id and sequence of the first record of a key, or no row: splits are read in order, and no more of them once one has it."""
+    return scan.where(F.col("id") == key).select("id", "sequence").limit(1)

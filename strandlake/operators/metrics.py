@@ -70,3 +70,19 @@ def rates(items: int, megabytes: float, seconds: float) -> dict[str, float]:
     """Throughput of a timed action."""
     s = max(seconds, 1e-9)
     return {"per_second": items / s, "mb_per_second": megabytes / s, "mean_us": s * 1e6 / max(items, 1)}
+
+
+def break_even(load_ms: Column) -> Column:
+    """Lookups after which a cache has paid for its load, at a tenth of a second each."""
+    return F.floor(load_ms / 100).cast("bigint")
+
+
+def report(load: dict, save: dict, restore: dict) -> dict[str, float | str]:
+    """Sizes, rates and advice from the summaries of a load, a save and a restore."""
+    original, stored, speedup = load["mb"], save["mb"], load["seconds"] / max(restore["seconds"], 1e-9)
+    saved = (original - stored) / original * 100 if original else 0.0
+    return {
+        "rows": restore["rows"], "original_mb": original, "stored_mb": stored, "size_ratio": stored / original if original else 0.0, "reduction_pct": saved,
+        "load_mb_per_second": load["mb_per_second"], "save_mb_per_second": save["mb_per_second"], "restore_mb_per_second": restore["mb_per_second"],
+        "restore_speedup": speedup, "break_even_lookups": int(load["seconds"] * 10),
+    }

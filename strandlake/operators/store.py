@@ -2,18 +2,18 @@
 
 import logging
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions import encode_payload, format_label
 from strandlake.operators import lookup
-from strandlake.operators.dedup import dedup_scan, file_order, last_wins
-from strandlake.operators.metrics import total_size
+from strandlake.operators.dedup import file_order, last_wins, latest, repeated_ids, write_keyed
+from strandlake.operators.metrics import file_mb, rates, timed, total_size
 from strandlake.schema import FORMAT_CODES, FORMAT_NAMES, KEY_VALUE, RECORDS
 from strandlake.sources.binary import SMRT_MAGIC, TRAC_MAGIC, TRAC_VERSION, scan_smrt, scan_trac, smrt_code, write_smrt, write_trac
 from strandlake.sources.fasta import scan_fasta
 from strandlake.sources.fastq import scan_fastq
-from strandlake.sources.paths import file_size, first_bytes, first_line
+from strandlake.sources.paths import file_size, files_of, first_bytes, first_line, scratch
 
 log = logging.getLogger(__name__)
 
@@ -39,32 +39,54 @@ class SequenceStore:
         self.format = "DNA_FASTA"
         self._base: DataFrame | None = None
         self._fresh: dict[str, str] = {}
+        #: What the last load, save or restore did.
+        self.summary: dict[str, object] = {}
 
     # loading and saving
 
     def load(self, path: str, mode: str = "validated") -> DataFrame:
-        """Replaces the file snapshot; one row per id, the last in file order."""
+        """Replaces the file snapshot; one row per id, the last in file order.
+
+        The file is parsed once: the snapshot is a table that lookups read by id.
+        """
         self.clear_file_cache()
         scan = load_scan(self.spark, path, mode)
         if scan is not None:
-            self.files = dedup_scan(scan)
-            first = scan.select(F.min_by(format_label(F.col("sequence"), F.col("quality")), file_order())).first()[0]
+            (n, first), seconds = timed(lambda: self._hold(scan))
             self.format = first or "DNA_FASTA"
-            log.info("loaded %s as %s", path, self.format)
+            self._said("loaded", path, self.format, n, seconds)
         return self.files
 
+    def _hold(self, scan: DataFrame) -> tuple[int, str | None]:
+        """Keeps a scan as the file snapshot; its number of rows and the kind of its first record."""
+        table = write_keyed(scan, "id", scratch(self.spark, "scan"))
+        twice = repeated_ids(table)
+        rows = latest(table, twice)
+        self.files = rows if twice is None else write_keyed(rows, "id", scratch(self.spark, "files"))
+        place = table.agg(F.min(file_order()).alias("p")).first()["p"]
+        kind = place and table.where((F.col("file") == place["file"]) & (F.col("block") == place["block"]) & (F.col("ord") == place["ord"])).select(format_label(F.col("sequence"), F.col("quality"))).first()[0]
+        return self.files.count(), kind
+
+    def _said(self, done: str, path: str, kind: str, n: int, seconds: float) -> None:
+        """Keeps and logs the summary of an action: rows, MiB of its file, and rates."""
+        size = sum(file_mb(f) for f in files_of(path))
+        self.summary = {"action": done, "path": path, "format": kind, "rows": n, "mb": size, "seconds": seconds, **rates(n, size, seconds)}
+        log.info("%s %s as %s: %d rows, %.1f MiB in %.2f s, %.1f MiB/s", done, path, kind, n, size, seconds, self.summary["mb_per_second"])
+
     load_smart_file = load
 
     def save(self, path: str) -> None:
         """Updates as TRAC if there are any, and then only they; else the files as SMRT; else nothing."""
         if self._has_pairs():
-            write_trac(self.pairs, path)
+            _, seconds = timed(lambda: write_trac(self.pairs, path))
+            self._said("saved", path, "TRAC", self.pairs.count(), seconds)
         elif not self.files.isEmpty():
             self.save_smart_binary(path)
 
     def save_smart_binary(self, path: str) -> None:
         """The file snapshot as SMRT, whatever the updates are."""
-        write_smrt(self.files, path, FORMAT_CODES[self.format])
+        _, seconds = timed(lambda: write_smrt(self.files, path, FORMAT_CODES[self.format]))
+        self._said("saved", path, self.format, self.files.count(), seconds)
 
     def restore(self, path: str) -> None:
         """TRAC fills the updates, SMRT the files; another TRAC version changes nothing."""
@@ -74,7 +96,10 @@ class SequenceStore:
         elif len(head) < 5 or head[4] != TRAC_VERSION:
             log.warning("%s has an unknown version; nothing restored", path)
         else:
-            self._fresh, self._base = {}, last_wins(scan_trac(self.spark, path).withColumn("_n", F.monotonically_increasing_id()), "key", F.col("_n")).drop("_n")
+            rows = last_wins(scan_trac(self.spark, path).withColumn("_n", F.monotonically_increasing_id()), "key", F.col("_n")).drop("_n")
+            base, seconds = timed(lambda: write_keyed(rows, "key", scratch(self.spark, "pairs")))
+            self._fresh, self._base = {}, base
+            self._said("restored", path, "TRAC", base.count(), seconds)
 
     def load_smart_binary(self, path: str) -> None:
         """Fills the file snapshot from SMRT."""
@@ -83,7 +108,10 @@ class SequenceStore:
             raise ValueError(f"{path} is neither cache format")
         if (code := smrt_code(path)) not in FORMAT_NAMES:
             raise ValueError(f"{path} has the unknown format code {code}")
-        self.files, self.format = dedup_scan(scan_smrt(self.spark, path)), FORMAT_NAMES[code]
+        scan = scan_smrt(self.spark, path)
+        (n, _), seconds = timed(lambda: self._hold(scan))
+        self.format = FORMAT_NAMES[code]
+        self._said("restored", path, self.format, n, seconds)
 
     def save_native(self, folder: str) -> None:
         """Both snapshots as Parquet, sorted by key in each file, with bloom filters on the key."""
@@ -119,13 +147,29 @@ class SequenceStore:
 
     # lookups
 
+    def _file(self, key: str):
+        """The row of a key in the files, or None: one filter that row groups are skipped by."""
+        return self.files.where(F.col("id") == key).select("sequence", "quality").first()
+
+    def _pair(self, key: str):
+        """kind, data, sequence and quality (bytes) of a key among the updates, or None."""
+        if key in self._fresh:
+            return "FASTA", self._fresh[key].encode(), None, None
+        found = self._base.where(F.col("key") == key).select("kind", "data", "sequence", "quality").first() if self._base is not None else None
+        return found and tuple(found)
+
     def get(self, key: str) -> str:
         """A FASTA update, else the file's sequence, else the empty string."""
-        return lookup.batch_get(self._keys(key), self.files.where(F.col("id") == key), self.pairs.where(F.col("key") == key)).first()["value"]
+        if (held := self._pair(key)) and held[0] == "FASTA":
+            return bytes(held[1] or b"").decode("utf-8", "replace")
+        row = self._file(key)
+        return row["sequence"] if row else ""
 
     def get_fastq_record(self, key: str):
         """A row of sequence and quality, or None."""
-        return lookup.batch_get_record(self._keys(key), self.files.where(F.col("id") == key), self.pairs.where(F.col("key") == key)).first()["record"]
+        if (held := self._pair(key)) and held[0] == "FASTQ":
+            return Row(sequence=bytes(held[2] or b"").decode("utf-8", "replace"), quality=bytes(held[3] or b"").decode("utf-8", "replace"))
+        return self._file(key)
 
     def get_all(self, keys: DataFrame) -> DataFrame:
         """get() for a table of keys."""
@@ -137,15 +181,17 @@ class SequenceStore:
 
     def get_sequence(self, key: str) -> str:
         """From the files only, empty on a miss."""
-        return lookup.batch_project(self._keys(key), self.files.where(F.col("id") == key), "sequence").first()["value"]
+        row = self._file(key)
+        return row["sequence"] if row else ""
 
     def get_quality(self, key: str) -> str:
         """From the files only, empty on a miss and for FASTA."""
-        return lookup.batch_project(self._keys(key), self.files.where(F.col("id") == key), "quality").first()["value"]
+        row = self._file(key)
+        return row["quality"] if row else ""
 
     def has_sequence(self, key: str) -> bool:
         """The files hold the key."""
-        return not self.files.where(F.col("id") == key).isEmpty()
+        return self._file(key) is not None
 
     # sizes
 
@@ -158,7 +204,8 @@ class SequenceStore:
 
     def get_stored_size(self, key: str) -> int:
         """Payload bytes among the updates, else 0."""
-        return lookup.batch_stored_size(self._keys(key), self.pairs.where(F.col("key") == key)).first()["stored_size"]
+        kind, *parts = self._pair(key) or ("FASTA", None, None, None)
+        return sum(len(p or b"") for p in (parts[1:] if kind == "FASTQ" else parts[:1]))
 
     def detected_format(self) -> str:
         """Kind of the last load's first record; DNA_FASTA before any."""
@@ -170,8 +217,5 @@ class SequenceStore:
     def _no_files(self) -> DataFrame:
         return self.spark.createDataFrame([], RECORDS)
 
-    def _keys(self, key: str) -> DataFrame:
-        return self.spark.createDataFrame([(key,)], "key string")
-
 
 __all__ = ["SequenceStore", "file_size", "load_scan"]

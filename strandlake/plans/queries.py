@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from strandlake import functions as fn
 from strandlake.operators import lookup, metrics
 from strandlake.operators.dedup import dedup_scan, file_order, first_match, last_wins
-from strandlake.operators.store import load_scan
+from strandlake.operators.store import SequenceStore, load_scan
 from strandlake.sources import binary, sinks
 from strandlake.sources.fasta import scan_fasta
 from strandlake.sources.fastq import scan_fastq
-from strandlake.sources.paths import scratch
+from strandlake.sources.paths import file_size, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -244,7 +244,10 @@ def total_size(spark, sf_dir):
 
 @query("select count(distinct l_orderkey) as n from lineitem")
 def distinct_size(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").agg(F.countDistinct("l_orderkey").alias("n"))
+    """Rows of a file snapshot, one for each id however often it is in the file."""
+    store = SequenceStore(spark)
+    store.load(_file(spark, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("id"), F.lit("ACGT").alias("sequence"))))
+    return spark.createDataFrame([(store.file_cache_size(),)], "n long")
 
 
 @query("select o_orderkey, coalesce(cast(strlen(text) as bigint), 0) as stored_size from orders left join documents on o_orderkey = doc_id")
@@ -300,11 +303,16 @@ def cache_advice(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", metrics.recommendation(F.col("doc_id") % 100, F.col("doc_id") % 11).alias("advice"))
 
 
-@query("select count(*) as n_before, count(*) as n_after, true as same from part")
+@query("select count(*) as n_before, count(*) as n_after, true as same, false as same_if_changed from part")
 def integrity_check(spark, sf_dir):
-    at, rows = scratch(spark, "native"), gen(spark, sf_dir).select("id", "sequence", "quality")
-    rows.write.parquet(at)
-    return metrics.integrity(rows, spark.read.parquet(at))
+    """A store's own format gives its rows back; one changed residue is found."""
+    at, rows, store = scratch(spark, "native"), gen(spark, sf_dir).select("id", "sequence", "quality"), SequenceStore(spark)
+    store.load(_file(spark, rows, "fastq"))
+    store.save_native(at)
+    back = SequenceStore(spark)
+    back.restore_native(at)
+    changed = back.files.withColumn("sequence", F.when(F.col("id") == "p7", F.concat(F.lit("A"), F.substring("sequence", 1, 31))).otherwise(F.col("sequence")))
+    return metrics.integrity(rows, back.files).withColumn("same_if_changed", F.lit(metrics.integrity(rows, changed).first()["same"]))
 
 
 @query("select id, sequence from (select id, arg_max(sequence, n) as sequence from (select cast(user_id as varchar) as id, event_type as sequence, event_id as n from events) group by id)")
@@ -314,3 +322,164 @@ def file_order_last_wins(spark, sf_dir):
     rows = table(spark, sf_dir, "events").coalesce(1).sortWithinPartitions("event_id")
     sinks.write_text(rows.select(sinks.fasta_text(F.col("user_id").cast("string"), F.col("event_type")).alias("r")), "r", at)
     return last_wins(scan_fasta(spark, at), "id", file_order()).select("id", "sequence")
+
+
+# the store, from files and back
+
+
+def _file(spark: SparkSession, rows: DataFrame, form: str = "fasta") -> str:
+    """Records as a folder with one file of a form; the file."""
+    at = scratch(spark, form)
+    text = sinks.fastq_text(F.col("id"), F.col("sequence"), F.col("quality")) if form == "fastq" else sinks.fasta_text(F.col("id"), F.col("sequence"))
+    sinks.write_text(rows.coalesce(1).select(text.alias("r")), "r", at)
+    return spark.read.text(at).inputFiles()[0]
+
+
+def _mixed_pairs(rows: DataFrame) -> DataFrame:
+    """Of every five keys one FASTA entry and one FASTQ entry, and an entry of each kind that no file has."""
+    five, none = F.col("k") % 5, F.lit(None).cast("binary")
+    text = lambda c: fn.encode_payload(F.concat(F.lit(c), F.col("k").cast("string")))
+    held = rows.where(five < 2).select(F.col("id").alias("key"), F.when(five == 0, "FASTA").otherwise("FASTQ").alias("kind"), F.when(five == 0, text("X")).alias("data"), F.when(five == 1, text("S")).alias("sequence"), F.when(five == 1, text("Q")).alias("quality"))
+    own = rows.where("k = 1").select(F.lit("only").alias("key"), F.lit("FASTA").alias("kind"), fn.encode_payload(F.lit("ACGT")).alias("data"), none.alias("sequence"), none.alias("quality"))
+    return held.unionAll(own)
+
+
+def _trac(spark: SparkSession, pairs: DataFrame) -> str:
+    at = _in_new_folder(spark, scratch(spark, "trac"))
+    binary.write_trac(pairs, at)
+    return at
+
+
+@query(f"select id, sequence from ({GEN})")
+def store_save_restore(spark, sf_dir):
+    """A loaded file saved as a cache and restored by another store."""
+    one, two, at = SequenceStore(spark), SequenceStore(spark), _in_new_folder(spark, scratch(spark, "cache"))
+    one.load(_file(spark, gen(spark, sf_dir)))
+    one.save(at)
+    two.restore(at)
+    return two.files.select("id", "sequence")
+
+
+PAIRS = f"""select id as key, k % 5 as five, concat(case k % 5 when 0 then 'X' else 'S' end, cast(k as varchar)) as s, concat('Q', cast(k as varchar)) as q from ({GEN}) where k % 5 < 2
+union all select 'only', 0, 'ACGT', null"""
+
+
+@query(f"""select key, coalesce(case when five = 0 then s end, sequence, '') as value, case when five = 1 then s else sequence end as record_sequence, case when five = 1 then q else quality end as record_quality
+from (select id as key from ({GEN}) union all select 'only' union all select 'nowhere') left join ({PAIRS}) using (key) left join (select id as key, sequence, quality from ({GEN})) using (key)""")
+def store_precedence(spark, sf_dir):
+    """Restored updates over a loaded FASTQ file, by value and by record, for present and absent keys."""
+    rows, store = gen(spark, sf_dir), SequenceStore(spark)
+    store.load(_file(spark, rows, "fastq"))
+    store.restore(_trac(spark, _mixed_pairs(rows)))
+    keys = rows.select(F.col("id").alias("key")).unionAll(spark.createDataFrame([("only",), ("nowhere",)], "key string"))
+    return store.get_all_records(store.get_all(keys)).select("key", "value", "record.*").withColumnsRenamed({"sequence": "record_sequence", "quality": "record_quality"})
+
+
+@query(f"""with g as (select k from ({GEN})), a as (select count(*) as n from g where k % 2 = 0), b as (select count(*) as n from g where k % 3 = 0)
+select 'loaded' as step, n as size, n as file_cache_size from a union all select 'set', n + 2, n from a union all select 'replaced', n + 2, n from b union all select 'cleared', 2, 0""")
+def store_clear_replace(spark, sf_dir):
+    """Sizes as a file is loaded, entries are set twice, another file replaces it and the file cache is cleared."""
+    rows, store, seen = gen(spark, sf_dir), SequenceStore(spark), []
+    note = lambda step: seen.append((step, store.size(), store.file_cache_size()))
+    store.load(_file(spark, rows.where("k % 2 = 0")))
+    note("loaded")
+    for key, value in (("a", "AC"), ("b", "GT"), ("a", "GG")):
+        store.set(key, value)
+    note("set")
+    store.load_smart_file(_file(spark, rows.where("k % 3 = 0"), "fastq"))
+    note("replaced")
+    store.clear_file_cache()
+    note("cleared")
+    return spark.createDataFrame(seen, "step string, size long, file_cache_size long")
+
+
+@query(f"""select 'pairs' as store, key as id, case when five = 0 then s else concat(s, '/', q) end as content, 'TRAC' as form from ({PAIRS})
+union all select 'files', id, concat(sequence, '/', quality), 'DNA_FASTQ' from ({GEN}) where k % 3 = 0""")
+def restore_dispatch(spark, sf_dir):
+    """Both cache formats into one store: the first bytes tell which snapshot they fill, and the other stays."""
+    rows, one, two = gen(spark, sf_dir), SequenceStore(spark), SequenceStore(spark)
+    one.load(_file(spark, rows.where("k % 3 = 0").orderBy("k"), "fastq"))
+    smrt = _in_new_folder(spark, scratch(spark, "smrt"))
+    one.save_smart_binary(smrt)
+    one.restore(_trac(spark, _mixed_pairs(rows)))
+    trac = _in_new_folder(spark, scratch(spark, "trac"))
+    one.save(trac)
+    for at in (smrt, trac):
+        two.restore(at)
+    text = fn.decode_payload
+    pairs = two.pairs.select(F.lit("pairs").alias("store"), F.col("key").alias("id"), F.concat_ws("/", text(F.col("data")), text(F.col("sequence")), text(F.col("quality"))).alias("content"), F.lit("TRAC").alias("form"))
+    return pairs.unionAll(two.files.select(F.lit("files"), "id", F.concat_ws("/", "sequence", "quality"), F.lit(two.detected_format())))
+
+
+@query(f"""with g as (select * from ({GEN})), p as ({PAIRS})
+select (select count(*) from g) as file_cache_size, (select count(*) from g) + (select count(*) from p) as size,
+  (select 13 + cast(sum(12 + strlen(id) + strlen(sequence) + strlen(quality)) as bigint) from g) as smrt_bytes,
+  (select 13 + cast(sum(strlen(key) + strlen(s) + case when five = 0 then 9 else 13 + strlen(q) end) as bigint) from p) as trac_bytes, 4 as stored_only, 0 as stored_none""")
+def store_sizes(spark, sf_dir):
+    """Sizes of a store and of the cache files that it writes, as found in storage."""
+    rows, store = gen(spark, sf_dir), SequenceStore(spark)
+    store.load(_file(spark, rows, "fastq"))
+    store.restore(_trac(spark, _mixed_pairs(rows)))
+    smrt, trac = (_in_new_folder(spark, scratch(spark, x)) for x in ("smrt", "trac"))
+    store.save_smart_binary(smrt)
+    store.save(trac)
+    found = (store.file_cache_size(), store.size(), file_size(smrt), file_size(trac), store.get_stored_size("only"), store.get_stored_size("nowhere"))
+    return spark.createDataFrame([found], "file_cache_size long, size long, smrt_bytes long, trac_bytes long, stored_only int, stored_none int")
+
+
+LOOKED_UP = ("p1", "p5", "p6", "p77", "only", "nowhere")
+
+
+@query(f"""select key, coalesce(case when five = 0 then s end, sequence, '') as value, coalesce(sequence, '') as sequence, coalesce(quality, '') as quality, id is not null as present,
+  case when five = 1 then concat(s, '/', q) when id is not null then concat(sequence, '/', quality) end as record, coalesce(cast(strlen(s) + case when five = 1 then strlen(q) else 0 end as bigint), 0) as stored
+from (select unnest({list(LOOKED_UP)}) as key) left join ({PAIRS}) using (key) left join ({GEN}) on key = id""")
+def point_lookups(spark, sf_dir):
+    """Each lookup of the store by single keys, against a table that was loaded once."""
+    rows, store = gen(spark, sf_dir), SequenceStore(spark)
+    store.load(_file(spark, rows, "fastq"))
+    store.restore(_trac(spark, _mixed_pairs(rows)))
+    found = [(k, store.get(k), store.get_sequence(k), store.get_quality(k), store.has_sequence(k), (r := store.get_fastq_record(k)) and "/".join(r), store.get_stored_size(k)) for k in LOOKED_UP]
+    return spark.createDataFrame(found, "key string, value string, sequence string, quality string, present boolean, record string, stored long")
+
+
+@query("select cast(user_id as varchar) as id, min_by(event_type, event_id) as sequence from events where user_id in (select min(user_id) from events union all select max(user_id) from events) group by 1")
+def linear_lookup(spark, sf_dir):
+    """The first record of an id in a file that has it many times, found by reading up to it."""
+    events = table(spark, sf_dir, "events")
+    path = _file(spark, events.coalesce(1).sortWithinPartitions("event_id").select(F.col("user_id").cast("string").alias("id"), F.col("event_type").alias("sequence")))
+    least, most = events.agg(F.min("user_id"), F.max("user_id")).first()
+    return lookup.first_in_file(scan_fasta(spark, path), str(least)).unionAll(lookup.first_in_file(scan_fasta(spark, path), str(most)))
+
+
+@query(f"""with g as (select id, sequence, quality from ({GEN})),
+f as (select count(*) as n, cast(sum(strlen(id) + strlen(sequence) + strlen(quality)) as double) as b from g)
+select action, n as rows, (b + extra * n + case action when 'loaded' then 0 else 13 end) / 1048576 as mb, true as timed
+from f, (values ('loaded', 6), ('saved', 12), ('restored', 12)) as a(action, extra)""")
+def load_summaries(spark, sf_dir):
+    """What a load, a save and a restore say of themselves: rows, MiB of the file, and a rate."""
+    store, at, seen = SequenceStore(spark), _in_new_folder(spark, scratch(spark, "cache")), []
+    path = _file(spark, gen(spark, sf_dir), "fastq")
+    for act, arg in ((store.load, path), (store.save, at), (store.restore, at)):
+        act(arg)
+        s = store.summary
+        seen.append((s["action"], s["rows"], s["mb"], s["seconds"] > 0 and abs(s["mb_per_second"] * s["seconds"] - s["mb"]) < 1e-6))
+    return spark.createDataFrame(seen, "action string, rows long, mb double, timed boolean")
+
+
+@query(f"""select n as rows, (b + 3 * n) / 1048576 as original_mb, (b + 12 * n + 13) / 1048576 as stored_mb, (b + 12 * n + 13) / (b + 3 * n) as size_ratio, true as measured
+from (select count(*) as n, cast(sum(strlen(id) + strlen(sequence)) as double) as b from ({GEN}))""")
+def cache_report(spark, sf_dir):
+    """A FASTA file against its cache: measured sizes and, as they differ from run to run, only that speedup and advice are there."""
+    store, at, seen = SequenceStore(spark), _in_new_folder(spark, scratch(spark, "cache")), []
+    path = _file(spark, gen(spark, sf_dir))
+    for act, arg in ((store.load, path), (store.save, at), (store.restore, at)):
+        act(arg)
+        seen.append(store.summary)
+    r = metrics.report(*seen)
+    ok = r["restore_speedup"] > 0 and r["break_even_lookups"] >= 0 and r["load_mb_per_second"] > 0
+    return spark.createDataFrame([(r["rows"], r["original_mb"], r["stored_mb"], r["size_ratio"], ok)], "rows long, original_mb double, stored_mb double, size_ratio double, measured boolean")
+
+
+@query("select doc_id, doc_id * 37 // 100 as lookups from documents")
+def break_even_lookups(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", metrics.break_even(F.col("doc_id") * 37).alias("lookups"))

@@ -10,7 +10,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, In
 from strandlake.schema import SCAN
 from strandlake.sources.paths import file_size, files_of, open_store
 
-BATCH = 8192
+#: Rows and bytes of a batch that goes back to the engine; bytes of a read.
+BATCH, BATCH_BYTES = 8192, 8 << 20
 BLOCK = 4 << 20
 ARROW = pa.schema([("id", pa.string()), ("sequence", pa.string()), ("quality", pa.string()), ("file", pa.string()), ("block", pa.int64()), ("ord", pa.int64())])
 
@@ -21,10 +22,13 @@ class Piece(InputPartition):
 
 
 def lines_from(path: str, start: int) -> Iterator[tuple[int, bytes]]:
-    """Offset and content of each line from a byte on, without line ends; only inflated for names in .gz."""
+    """Offset and content of each line from a byte on, without line ends; only inflated for names in .gz.
+
+    A gzip file that ends inside a member raises.
+    """
     fs, inner = open_store(path)
     inflate = zlib.decompressobj(31) if path.endswith(".gz") else None
-    at, rest = start, b""
+    at, rest, inside = start, b"", False
     with fs.open_input_file(inner) as f:
         f.seek(start)
         while raw := f.read(BLOCK):
@@ -33,15 +37,15 @@ def lines_from(path: str, start: int) -> Iterator[tuple[int, bytes]]:
             else:
                 while raw:
                     rest += inflate.decompress(raw)
-                    raw = inflate.unused_data
-                    if inflate.eof and raw:
+                    raw, inside = inflate.unused_data, not inflate.eof
+                    if inflate.eof:
                         inflate = zlib.decompressobj(31)  # a file may be several gzip members
-                    else:
-                        break
             *whole, rest = rest.split(b"\n")
             for line in whole:
                 yield at, line.rstrip(b"\r")
                 at += len(line) + 1
+    if inside:
+        raise ValueError(f"{path} ends inside a gzip member")
     if rest:
         yield at, rest.rstrip(b"\r")
 
@@ -106,13 +110,15 @@ class FastqReader(DataSourceReader):
         if piece.start:
             next(lines, None)  # the rest of a line that an earlier range has, or just its end
         rows: list[tuple] = []
+        size = 0
         for at, head, sequence, quality in records_between(lines, piece.start, piece.end, self.strict):
             name = head[1:].split(b" ", 1)[0].decode("utf-8", "replace")
             if self.wanted is None or name in self.wanted:
                 rows.append((name, sequence.decode("utf-8", "replace"), quality.decode("utf-8", "replace"), piece.file, piece.start, at))
-            if len(rows) == BATCH:
+                size += len(sequence) + len(quality)
+            if len(rows) >= BATCH or size >= BATCH_BYTES:
                 yield _batch(rows)
-                rows = []
+                rows, size = [], 0
         if rows:
             yield _batch(rows)
 
