@@ -7,11 +7,16 @@
    only, so a bucket makes as many candidates as it has members.
 4. Candidates are verified on full sets; verified links form components.
 5. Buckets that still span several components are compared in full, in blocks
-   of bounded size and skipping pairs already in one component, so that no link
+   of bounded bytes and skipping pairs already in one component, so that no link
    is lost where the smallest member was not similar to all the others.
 
 With 30 bands of 5 rows, two texts at a threshold of 0.85 share no bucket with
 probability 2e-8, at 0.8 with 7e-6.
+
+Null and empty texts have no shingles and are alone, as are texts of white
+space. A null doc_id is in no group. An empty table gives an empty one. A very
+long text is one row whose set must fit into a task. Other columns are not
+looked at, whatever their names.
 """
 
 import numpy as np
@@ -19,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.shared import map_arrow, shared_folder, text_or_empty, written
+from strandlake.llm.shared import join_checked, map_arrow, shared_folder, text_or_empty, written
 from strandlake.llm.words import mix, shingle_sets
 
 BANDS, ROWS = 30, 5
 SLOTS = BANDS * ROWS
-#: Members of a block when a bucket is compared in full.
-BLOCK = 1024
+#: Bytes of shingle hashes in a block when a bucket is compared in full; a larger set is a block by itself or in company.
+BLOCK_BYTES = 16 << 20
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -156,8 +161,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Union-find within partitions, then rounds in which every node links its
     neighbours to the least of them (the greater ones, then the smaller ones)
-    until nothing changes. Minima are aggregated before each shuffle, and a
-    node with very many neighbours is a skewed join key, which Spark splits.
+    until nothing changes. Minima are aggregated before their shuffle and
+    written before they are joined: the join then has two plain shuffles, and
+    the partition of a node with very many neighbours can be split.
     """
     shared_folder(edges.sparkSession)
     links = _local_forest(edges.select("a", "b")).distinct().checkpoint()
@@ -167,19 +173,22 @@ def components(edges: DataFrame) -> DataFrame:
             both = links.unionAll(links.select("b", "a"))
             if greater:
                 least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-                links = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b")
+                links = both.where("b > a").join(_plain(least), "a").select(F.col("m").alias("a"), "b")
             else:
                 down = links.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a"))
                 least = down.groupBy("b").agg(F.min("a").alias("m"))
-                links = down.join(least, "b").select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b"))
-            links = links.where("a <> b").distinct()
-        links = links.checkpoint()
+                links = down.join(_plain(least), "b").select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b"))
+            links = links.where("a <> b").distinct().checkpoint()
         now = links.agg(F.count("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             return links.select(F.col("b").alias("node"), F.col("a").alias("component")).unionAll(links.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
         state = now
 
 
+def _plain(least: DataFrame) -> DataFrame:
+    return written(least, "near-least", "lz4").hint("shuffle_merge")
+
+
 def _similar(percent: int):
     """Column test on n_a, n_b and their common part."""
     return F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent
@@ -199,19 +208,22 @@ def near_dup_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     reps = written(reps.select("set_digest", "rep", "of.*"), "near-representatives")
 
     # buckets with more than one representative; the least of each is its leader
-    rows = reps.select("rep", F.explode("bands").alias("key"))
-    buckets = rows.groupBy("key").agg(F.min("rep").alias("leader"), F.count("rep").alias("members")).where("members > 1")
-    members = written(rows.join(buckets, "key"), "near-buckets")
-    pairs = members.where("rep <> leader").select("leader", "rep").distinct()
-    needed = pairs.select("rep").unionAll(pairs.select(F.col("leader").alias("rep"))).distinct()
+    rows = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    least = F.min(F.struct("rep", "n"))
+    buckets = written(rows.groupBy("key").agg(least.alias("l"), F.count("rep").alias("members")).where("members > 1").select("key", F.col("l.rep").alias("leader"), F.col("l.n").alias("leader_n"), "members"), "near-bucket-leaders")
+    members = written(rows.join(buckets.hint("shuffle_merge"), "key"), "near-buckets")
+    possible = (F.least("n", "leader_n") * 100) >= (F.greatest("n", "leader_n") * percent)
+    pairs = written(members.where("rep <> leader").where(possible).select("leader", "rep").distinct(), "near-pairs")
+    open_ = members.where("members > 2").select("rep")  # may be compared once more
+    needed = pairs.select("rep").unionAll(pairs.select("leader")).unionAll(open_).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_or_empty().alias("text"))
-    sets = written(_sets(texts.join(needed, "rep", "left_semi").dropDuplicates(["rep"])), "near-sets")
+    wanted = join_checked(texts, written(needed, "near-needed"), "rep", "left_semi")
+    sets = written(_sets(wanted).dropDuplicates(["rep"]), "near-sets")
 
     a = sets.select(F.col("rep").alias("leader"), F.col("shingles").alias("s_a"))
     b = sets.select("rep", F.col("shingles").alias("s_b"))
     n_a, n_b = F.size("s_a").cast("long"), F.size("s_b").cast("long")
-    possible = (F.least(n_a, n_b) * 100) >= (F.greatest(n_a, n_b) * percent)
-    tested = pairs.join(b, "rep").join(a, "leader").where(possible).select("leader", "rep", n_a.alias("n_a"), n_b.alias("n_b"), F.size(F.array_intersect("s_a", "s_b")).cast("long").alias("common"))
+    tested = pairs.join(b, "rep").join(a, "leader").select("leader", "rep", n_a.alias("n_a"), n_b.alias("n_b"), F.size(F.array_intersect("s_a", "s_b")).cast("long").alias("common"))
     links = written(tested.where(_similar(percent)).select(F.col("leader").alias("a"), F.col("rep").alias("b")), "near-links")
     first = written(components(links), "near-components")
 
@@ -226,66 +238,80 @@ def near_dup_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
 
 
-def _compare_open_buckets(members: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+def _compare_open_buckets(members: DataFrame, groups: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK_BYTES) -> DataFrame | None:
     """Links among members of buckets that span several components; None if there are no such buckets.
 
     A bucket of two is settled by its leader's test, and so are pairs with the
-    leader. Equal buckets are compared once. Large ones are dealt in pairs of
-    blocks, so that a task holds two blocks.
+    leader. Equal buckets are compared once. Of a pair still to compare, one at
+    least is outside of its bucket's largest component: those minor members are
+    dealt in blocks of bounded bytes, all members in blocks too, and each pair
+    of blocks meets in one task. With few minor members, as where a bucket is
+    one large group and some strays, every member is sent once.
     """
-    placed = members.where("members > 2").join(groups, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-    whole = placed.groupBy("key").agg(F.count("rep").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("h1"), F.sum(F.xxhash64(F.col("rep"), F.lit(7)).cast("decimal(38,0)")).alias("h2"))
-    still = whole.where("lo < hi").groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key", "n")
-    rows = written(placed.join(still, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "near-open")
-    if rows.isEmpty():
+    placed = written(members.where("members > 2").join(groups, F.col("rep") == F.col("node"), "left").select("key", "rep", F.col("n").alias("size"), F.coalesce("component", "rep").alias("c")), "near-placed")
+    hashes = [F.sum(F.xxhash64(F.col("rep"), F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)]
+    whole = placed.groupBy("key").agg(F.count("rep").alias("n"), F.sum("size").alias("shingles"), F.min("c").alias("lo"), F.max("c").alias("hi"), *hashes)
+    still = whole.where("lo < hi").groupBy("n", "shingles", "h1", "h2").agg(F.min("key").alias("key")).select("key", "shingles")
+    still = written(still, "near-still")
+    if still.isEmpty():
         return None
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "c").join(sets, "rep")
+    rows = placed.join(still.hint("shuffle_merge"), "key")
+    parts = rows.groupBy("key", "shingles", "c").agg(F.count("rep").alias("n"), F.sum("size").alias("own"))
+    largest = parts.groupBy("key").agg(F.max(F.struct("own", "c")).alias("of"), F.max("shingles").alias("all"))
+    blocks = lambda n: F.ceil(n * 8 / block).cast("int")
+    largest = written(largest.select("key", F.col("of.c").alias("largest"), F.greatest(blocks(F.col("all")), F.lit(1)).alias("ny"), F.greatest(blocks(F.col("all") - F.col("of.own")), F.lit(1)).alias("nx")), "near-largest")
+    rows = rows.join(largest.hint("shuffle_merge"), "key").withColumn("minor", F.col("c") != F.col("largest"))
+    own = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    every = rows.withColumn("y", own(F.col("ny"))).withColumn("x", upto("nx")).select("key", "x", "y", "rep", "c", F.lit(False).alias("minor"))
+    minor = rows.where("minor").withColumn("x", own(F.col("nx"))).withColumn("y", upto("ny")).select("key", "x", "y", "rep", "c", "minor")
+    meet = written(every.unionAll(minor), "near-open").join(sets, "rep")
 
     def compare(key, table):
         table = table.combine_chunks()
-        rep, comp, own = (table.column(c).to_numpy() for c in ("rep", "c", "own"))
+        rep, comp, minor = (table.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "c", "minor"))
         lists = table.column("shingles").combine_chunks()
         at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
         size = np.diff(at)
-        parent = {int(c): int(c) for c in comp}
+        every, parent = np.flatnonzero(~minor), {int(c): int(c) for c in comp}
 
         def root(x):
             while parent[x] != x:
                 parent[x] = x = parent[parent[x]]
             return x
 
-        _, ids = np.unique(values, return_inverse=True)
-        order = np.argsort(ids, kind="stable")
-        post = np.concatenate(([0], np.cumsum(np.bincount(ids))))
-        holder = np.repeat(np.arange(len(rep)), size)[order]
-        found = []
-        names, counts = np.unique(comp, return_counts=True)
-        largest = names[counts.argmax()]  # every open pair has an end outside of it
-        for i in np.flatnonzero(comp != largest):
-            mine = ids[at[i] : at[i + 1]]
-            runs = [holder[post[t] : post[t + 1]] for t in mine]
-            common = np.bincount(np.concatenate(runs), minlength=len(rep)) if runs else np.zeros(len(rep), np.int64)
-            ok = common * 100 >= (size + size[i] - common) * percent
-            if len(set(own)) > 1:
-                ok &= own != own[i]
-            for k in np.flatnonzero(ok):
+        # where each hash stands among all members
+        flat = np.concatenate([np.zeros(0, np.int64), *(values[at[k] : at[k + 1]] for k in every)])
+        holder = np.repeat(np.arange(len(every)), size[every])
+        order = np.argsort(flat, kind="stable")
+        flat, holder = flat[order], holder[order]
+        found, left = [], len(parent)
+        for i in np.flatnonzero(minor):
+            mine = values[at[i] : at[i + 1]]
+            lo, counts = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
+            counts -= lo
+            upto, common = np.cumsum(counts), np.zeros(len(every), np.int64)
+            for s in range(0, int(upto[-1]) if len(upto) else 0, 1 << 22):  # hits s to e, some at a time
+                e = min(s + (1 << 22), int(upto[-1]))
+                p, q = int(np.searchsorted(upto, s, "right")), int(np.searchsorted(upto, e, "left")) + 1
+                step = np.arange(s, e) - np.repeat(upto[p:q] - counts[p:q], np.minimum(upto[p:q], e) - np.maximum(upto[p:q] - counts[p:q], s))
+                common += np.bincount(holder[np.repeat(lo[p:q], np.minimum(upto[p:q], e) - np.maximum(upto[p:q] - counts[p:q], s)) + step], minlength=len(every))
+            ok = common * 100 >= (size[every] + size[i] - common) * percent
+            for k in every[ok]:
                 p, q = root(int(comp[i])), root(int(comp[k]))
                 if p != q:
                     parent[max(p, q)] = min(p, q)
                     found.append((min(int(comp[i]), int(comp[k])), max(int(comp[i]), int(comp[k]))))
-            if len({root(int(c)) for c in set(parent)}) == 1:
+                    left -= 1
+            if left == 1:
                 break
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return written(rows.groupBy("key", "x", "y").applyInArrow(compare, "a long, b long"), "near-more")
+    return written(meet.groupBy("key", "x", "y").applyInArrow(compare, "a long, b long"), "near-more")
 
 
 def drop_near_dups(docs: DataFrame, percent: int = 85) -> DataFrame:
     """docs without those rows whose document is not the least of its group; columns as they were."""
-    from strandlake.llm.shared import join_checked
-
     gone = near_dup_groups(docs, percent).where("not kept").select("doc_id").distinct()
     return join_checked(docs, written(gone, "near-gone"), "doc_id", "left_anti")

@@ -108,13 +108,48 @@ def test_near_dup(spark, docs, odd, none):
 
 def test_open_buckets(spark):
     """Links that no bucket's least member has are found among the others."""
-    members = spark.createDataFrame([(1, r, 4) for r in (1, 2, 3, 4)], "key long, rep long, members long")
+    members = spark.createDataFrame([(1, r, n, 4) for r, n in ((1, 10), (2, 20), (3, 19), (4, 10))], "key long, rep long, n long, members long")
     sets = spark.createDataFrame([(1, list(range(100, 110))), (2, list(range(20))), (3, list(range(19))), (4, list(range(50, 60)))], "rep long, shingles array<long>")
     alone = spark.createDataFrame([], "node long, component long")
     found = near_dup._compare_open_buckets(members, alone, sets, 85)
     assert [tuple(r) for r in found.collect()] == [(2, 3)]
 
 
+@pytest.mark.parametrize("block", [1 << 24, 4000, 300])
+def test_open_buckets_in_blocks(spark, block):
+    """One large group, many strays and links among them, however the bucket is dealt into blocks."""
+    rng = np.random.default_rng(3)
+    base = {k: set(rng.integers(0, 10**6, 60).tolist()) for k in range(12)}
+    sets, comp = {}, {}
+    for rep in range(150):
+        own = sorted(base[rep % 12 if rep % 3 else 0])
+        own = own[: len(own) - rep % 4] + rng.integers(2 * 10**6, 10**7, rep % 3).tolist()
+        sets[rep], comp[rep] = own, 0 if rep % 3 == 0 else rep
+    members = spark.createDataFrame([(7, r, len(s), len(sets)) for r, s in sets.items()], "key long, rep long, n long, members long")
+    groups = spark.createDataFrame([(r, c) for r, c in comp.items() if not c], "node long, component long")
+    lists = spark.createDataFrame(list(sets.items()), "rep long, shingles array<long>")
+    links = [tuple(r) for r in near_dup._compare_open_buckets(members, groups, lists, 85, block).collect()]
+    def joined(edges):
+        up = {r: r for r in sets}
+        def root(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+        for a, b in [*edges, *((r, c) for r, c in comp.items())]:
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+        return {r: root(r) for r in sets}
+    true = [(a, b) for a in sets for b in sets if a < b and 100 * len(set(sets[a]) & set(sets[b])) >= 85 * len(set(sets[a]) | set(sets[b]))]
+    assert joined(links) == joined(true) and len(set(joined(true).values())) < 20
+
+
+def test_hub(spark):
+    """A node with half of all links."""
+    edges = [(5, k) for k in range(10, 3000)] + [(k, k + 1) for k in range(5000, 5100)] + [(1, 2999), (2, 5100)]
+    got = dict(near_dup.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect())
+    assert {k: v for k, v in got.items() if k < 4000 and k != 2} == {k: 1 for k in (1, 5, *range(10, 3000))} and got[5000] == got[2] == 2
+
+
 def test_components(spark):
     path = [(k, k + 1) for k in range(1, 60)] + [(100, k) for k in range(101, 160)] + [(7, 3), (200, 201)]
     got = dict(near_dup.components(spark.createDataFrame(path, "a long, b long").repartition(5)).collect())
