@@ -8,7 +8,12 @@
    that the ridge fit did not see.
 4. Scoring is one more pass over the statistics.
 
-doc_id, lang, source and labels are inputs of no score.
+doc_id, lang, source and labels are inputs of no score. Each row is scored by
+its text alone, whatever its doc_id is and however often it comes; null, empty
+and blank texts have statistics of 0 and the score of those. A text of any
+length is one row, of which the words are held at once. An empty table gives an
+empty one, and other columns are not looked at. Labels without a doc_id or with
+another quality than 0 and 1 are passed over; a document with both counts as 1.
 """
 
 from dataclasses import dataclass
@@ -18,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.shared import map_arrow, text_or_empty, written
+from strandlake.llm.shared import join_checked, map_arrow, text_or_empty, written
 from strandlake.llm.words import buffers, groups, word_runs
 
 #: Labelled rows that a fit reads at most, in the order of a hash of doc_id.
@@ -124,15 +129,20 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, N_STATS)
 
 
-def fit(stats: DataFrame, labels: DataFrame) -> Model:
-    """A model from labelled rows outside of the held-out fold, at most about MOST_LABELS of them."""
+def marked_rows(labels: DataFrame) -> DataFrame:
+    """doc_id and y of labels that a fit may read: outside of the held-out fold, at most about MOST_LABELS; 1 wins where a document has both."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     marked = marked.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     n = marked.count()
     if n > MOST_LABELS:
         marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * MOST_LABELS / n))
+    return written(marked, "labels")
+
+
+def fit(stats: DataFrame, marked: DataFrame) -> Model:
+    """A model from statistics of documents (doc_id, x; others than labelled ones are passed over) and marked_rows."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    rows = written(stats.join(marked, "doc_id").select("x", "y", (fold == 4).alias("calibrates")).repartition(PARTS), "labelled")
+    rows = written(join_checked(stats, marked, "doc_id", "inner").select("x", "y", (fold == 4).alias("calibrates")).repartition(PARTS), "labelled")
     mean = lambda k: F.avg(F.col("x")[k])
     moments = rows.agg(F.count("y"), F.avg("y"), F.min("y"), F.max("y"), *(mean(k) for k in range(N_STATS)), *(F.stddev_pop(F.col("x")[k]) for k in range(N_STATS))).first()
     if not moments[0] or moments[2] == moments[3]:
@@ -178,7 +188,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     labels the score is 1, with labels of one kind it is that kind.
     """
     stats = written(_stats_table(docs), "statistics")
-    model = fit(stats, labels)
+    model = fit(stats, marked_rows(labels))
 
     def f(batch: pa.RecordBatch):
         s = np.clip(model.score(_matrix(batch)), 0.0, 1.0)
@@ -189,8 +199,14 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that score below THRESHOLD; columns as they were."""
-    model = fit(written(_stats_table(docs), "statistics"), labels)
+    """docs without those that score below THRESHOLD; columns as they were.
+
+    Statistics are computed of labelled documents for the fit, and then once of
+    all of them, where they are scored.
+    """
+    marked = marked_rows(labels)
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    model = fit(_stats_table(join_checked(known, marked.select("doc_id"), "doc_id", "left_semi")), marked)
 
     def f(batch: pa.RecordBatch):
         return batch.filter(pa.array(model.score(statistics(batch.column("text")).astype(np.float32).astype(np.float64)) >= THRESHOLD))
