@@ -8,8 +8,11 @@ digest, number). Every document has the ordered list of its digests; those that
 own all of their chunks are read back alone, the others join the chunks that
 they borrow. What is read back is checked against the image's digest.
 
-Rows of one doc_id with equal texts are one document repeated. A null text is
-an empty one.
+Rows of one doc_id with equal texts are one document repeated; with different
+texts, or without a doc_id, they are images of their own. A null text is an
+empty one, which is one row of padding. An empty table gives an empty one. A
+very long text is one row, of which the image is held at once. Other columns
+are not looked at.
 """
 
 import hashlib
@@ -113,8 +116,9 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     listed = written(chunk_list(texts), "media-lists")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "k")
-    owners = listed.groupBy("digest").agg(F.min(place).alias("o"), F.max(place).alias("other")).where("o <> other").select("digest", "o")
-    borrowed = listed.join(owners, "digest").where(~place.eqNullSafe(F.col("o"))).select("doc_id", "key", "k", "digest", F.col("o.doc_id").alias("owner_doc"), F.col("o.key").alias("owner_key"), F.col("o.k").alias("owner_k"))
+    owners = listed.groupBy("digest").agg(F.min(place).alias("o"), F.count("*").alias("n")).where("n > 1").select("digest", "o")
+    owners = written(owners, "media-owners")  # with a table on either side, a very common chunk is a partition that can be split
+    borrowed = listed.join(owners.hint("shuffle_merge"), "digest").where(~place.eqNullSafe(F.col("o"))).select("doc_id", "key", "k", "digest", F.col("o.doc_id").alias("owner_doc"), F.col("o.key").alias("owner_key"), F.col("o.k").alias("owner_k"))
     borrowed = written(borrowed.distinct(), "media-borrowed")
     lists = written(borrowed.groupBy("doc_id").agg(F.collect_list(F.struct("key", "k")).alias("absent")), "media-absent")  # no more than a document has
 
@@ -137,7 +141,8 @@ def read_back(stored: DataFrame, borrowed: DataFrame) -> DataFrame:
     wanted = written(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("owner_key", "owner_k", "digest")).alias("lent")), "media-lent")
     lent = join_checked(stored, wanted, "doc_id", "inner").select("key", "own", F.explode("lent").alias("x")).where("key = x.owner_key")
     lent = lent.select(F.col("x.digest").alias("digest"), F.get("own", F.col("x.owner_k")).alias("data")).dropDuplicates(["digest"])
-    parts = borrowed.select("doc_id", "key", "k", "digest").join(lent, "digest").groupBy("doc_id", "key").agg(F.collect_list(F.struct("k", "data")).alias("parts"))
+    lent = written(lent, "media-lent-chunks")
+    parts = borrowed.select("doc_id", "key", "k", "digest").join(lent.hint("shuffle_merge"), "digest").groupBy("doc_id", "key").agg(F.collect_list(F.struct("k", "data")).alias("parts"))
     whole = stored.where("borrows = 0").select("doc_id", "key", "n_bytes", "own", F.lit(None).cast("array<struct<k:int,data:binary>>").alias("parts"))
     mixed = join_checked(stored.where("borrows > 0"), parts, ["doc_id", "key"], "left", payload=True).select(whole.columns)
 
