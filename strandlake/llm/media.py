@@ -119,7 +119,7 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     owners = listed.groupBy("digest").agg(F.min(place).alias("o"), F.count("*").alias("n")).where("n > 1").select("digest", "o")
     owners = written(owners, "media-owners")  # with a table on either side, a very common chunk is a partition that can be split
     borrowed = listed.join(owners.hint("shuffle_merge"), "digest").where(~place.eqNullSafe(F.col("o"))).select("doc_id", "key", "k", "digest", F.col("o.doc_id").alias("owner_doc"), F.col("o.key").alias("owner_key"), F.col("o.k").alias("owner_k"))
-    borrowed = written(borrowed.distinct(), "media-borrowed")
+    borrowed = written(written(borrowed, "media-again").distinct(), "media-borrowed")  # apart, as the join could not be split below it
     lists = written(borrowed.groupBy("doc_id").agg(F.collect_list(F.struct("key", "k")).alias("absent")), "media-absent")  # no more than a document has
 
     def f(batch: pa.RecordBatch):

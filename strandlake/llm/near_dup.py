@@ -255,7 +255,7 @@ def _compare_open_buckets(members: DataFrame, groups: DataFrame, sets: DataFrame
     still = written(still, "near-still")
     if still.isEmpty():
         return None
-    rows = placed.join(still.hint("shuffle_merge"), "key")
+    rows = written(placed.join(still.hint("shuffle_merge"), "key"), "near-open-rows")  # each join on a bucket by itself, so that it can be split
     parts = rows.groupBy("key", "shingles", "c").agg(F.count("rep").alias("n"), F.sum("size").alias("own"))
     largest = parts.groupBy("key").agg(F.max(F.struct("own", "c")).alias("of"), F.max("shingles").alias("all"))
     blocks = lambda n: F.ceil(n * 8 / block).cast("int")
