@@ -87,7 +87,7 @@ def item_rows(items: DataFrame, percent: int) -> DataFrame:
 def bit_tables(items: DataFrame) -> dict[int, np.ndarray]:
     """For each class of items a table of bits that their shingles set, no larger than 2^TABLE_BITS bits."""
     sizes = {r.extra: r.n for r in items.groupBy("extra").agg(F.sum("n_item").alias("n")).collect()}  # no more than MISS_BITS rows
-    bits = {k: int(min(TABLE_BITS, max(10, int(n).bit_length() + 4))) for k, n in sizes.items()}
+    bits = {k: int(min(TABLE_BITS, max(10, int(n).bit_length() + 9))) for k, n in sizes.items()}
 
     def run(batches):
         held = {}
