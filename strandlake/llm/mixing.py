@@ -11,6 +11,11 @@ A leaf goes through all of its documents for each whole epoch in its budget; of
 the last epoch it takes documents in a seeded order for as long as they fit.
 Where that order stops is found from sums over hash buckets, about the square
 root of the leaf's documents in number, and then within one bucket.
+
+Rows of one doc_id and leaf are taken together or not at all, as are those
+without a doc_id. Null languages and sources are empty ones. Null, empty and
+blank texts have no tokens and always fit. Ties of the order go by doc_id. An
+empty table gives an empty mix; other columns are not looked at.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -66,8 +71,9 @@ def _shares(nodes: DataFrame, parent: list[str], name: str, weights: dict[str, i
     d = d.withColumns({
         "_left": (F.col("_b") - F.coalesce(F.sum(F.when(F.col("_full"), F.col("_cap"))).over(family), F.lit(0))).cast("decimal(19,0)"),
         "_open": F.sum(F.when(~F.col("_full"), F.col("_w"))).over(family).cast("decimal(19,0)"),
+        "_upto": F.sum(F.when(~F.col("_full"), F.col("_w"))).over(order.rowsBetween(W.unboundedPreceding, 0)).cast("decimal(19,0)"),
     })
-    whole = F.when(F.col("_full"), F.col("cap")).otherwise(F.expr("_left * _w div _open").cast("long"))
+    whole = F.when(F.col("_full"), F.col("cap")).otherwise(F.expr("_left * _upto div _open - _left * (_upto - _w) div _open").cast("long"))
     return d.select(*[c for c in nodes.columns if c != "budget"], whole.alias("budget"))
 
 
@@ -104,6 +110,7 @@ def plan(slim: DataFrame, seed: str = SEED, percent: int = BUDGET_PERCENT, epoch
     upto = F.sum("t").over(W.partitionBy(*LEAF).orderBy("bucket"))
     cut = written(sums.withColumn("upto", upto).where("upto > rest and upto - t <= rest").select(*LEAF, F.col("bucket").alias("cut"), (F.col("upto") - F.col("t")).alias("used")), "mix-cuts")
     inside = join_checked(last, cut, LEAF, "inner").where("bucket = cut")
+    inside = inside.groupBy(*LEAF, "rest", "used", "h", "doc_id").agg(F.sum("n_tokens").alias("n_tokens"))  # rows of one id, or of none, are one
     seen = F.col("used") + F.sum("n_tokens").over(W.partitionBy(*LEAF).orderBy("h", "doc_id"))  # peers count together
     ends = inside.withColumn("seen", seen).where("seen <= rest").groupBy(*LEAF).agg(F.max(F.struct("h", "doc_id")).alias("end"))
     return written(leaves.join(cut, LEAF, "left").join(ends, LEAF, "left").select(*LEAF, "n_docs", "whole", "rest", "cut", F.col("end.h").alias("end_h"), F.struct(F.col("end.h").alias("h"), F.col("end.doc_id").alias("doc_id")).alias("end")), "mix-plan")
@@ -133,10 +140,11 @@ def mix(docs: DataFrame, seed: str = SEED, percent: int = BUDGET_PERCENT, epochs
 
 
 def mix_documents(docs: DataFrame, seed: str = SEED, percent: int = BUDGET_PERCENT, epochs: int = MOST_EPOCHS) -> DataFrame:
-    """doc_id, text, lang, source, n_chars, domain and epoch for each time that a document is in the mix."""
+    """doc_id, text, lang, source, n_chars (if docs have it), domain and epoch for each time that a document is in the mix."""
     leaves = plan(written(slim_rows(docs), "mix-rows"), seed, percent, epochs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "n_chars", *_leaves(docs))
-    return _chosen(rows, leaves, seed).select("doc_id", "text", "lang", "source", "n_chars", "domain", "epoch")
+    own = [c for c in ("n_chars",) if c in docs.columns]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *own, *_leaves(docs))
+    return _chosen(rows, leaves, seed).select("doc_id", "text", "lang", "source", *own, "domain", "epoch")
 
 
 ORACLE = f"""
@@ -149,16 +157,19 @@ d0 as (select domain, case domain when 'd0' then 4 when 'd1' then 3 when 'd2' th
   (select cast(sum(tokens) as hugeint) * {BUDGET_PERCENT} // 100 from leaves) as b from leaves group by domain),
 d1 as (select *, coalesce(sum(cap) over (order by cap::double / w, domain rows between unbounded preceding and 1 preceding), 0) * w
   + cap * sum(w) over (order by cap::double / w, domain rows between current row and unbounded following) <= b * w as f from d0),
-d2 as (select domain, case when f then cap else (b - coalesce(sum(cap) filter (f) over (), 0)) * w // sum(w) filter (not f) over () end as b from d1),
+d2 as (select domain, case when f then cap else l * u // o - l * (u - w) // o end as b from (select *, b - coalesce(sum(cap) filter (f) over (), 0) as l, sum(w) filter (not f) over () as o,
+    sum(case when f then 0 else w end) over (order by cap::double / w, domain rows between unbounded preceding and current row) as u from d1)),
 l0 as (select domain, lang, case lang when 'en' then 3 when 'fr' then 2 else 1 end as w, {MOST_EPOCHS} * sum(tokens) as cap, any_value(d2.b) as b
   from leaves join d2 using (domain) group by domain, lang),
 l1 as (select *, coalesce(sum(cap) over (partition by domain order by cap::double / w, lang rows between unbounded preceding and 1 preceding), 0) * w
   + cap * sum(w) over (partition by domain order by cap::double / w, lang rows between current row and unbounded following) <= b * w as f from l0),
-l2 as (select domain, lang, case when f then cap else (b - coalesce(sum(cap) filter (f) over (partition by domain), 0)) * w // sum(w) filter (not f) over (partition by domain) end as b from l1),
+l2 as (select domain, lang, case when f then cap else l * u // o - l * (u - w) // o end as b from (select *, b - coalesce(sum(cap) filter (f) over (partition by domain), 0) as l, sum(w) filter (not f) over (partition by domain) as o,
+    sum(case when f then 0 else w end) over (partition by domain order by cap::double / w, lang rows between unbounded preceding and current row) as u from l1)),
 s0 as (select domain, lang, source, tokens, 1 as w, {MOST_EPOCHS} * tokens as cap, b from leaves join l2 using (domain, lang)),
 s1 as (select *, coalesce(sum(cap) over (partition by domain, lang order by cap::double / w, source rows between unbounded preceding and 1 preceding), 0) * w
   + cap * sum(w) over (partition by domain, lang order by cap::double / w, source rows between current row and unbounded following) <= b * w as f from s0),
-s2 as (select domain, lang, source, tokens, case when f then cap else (b - coalesce(sum(cap) filter (f) over (partition by domain, lang), 0)) * w // sum(w) filter (not f) over (partition by domain, lang) end as b from s1),
+s2 as (select domain, lang, source, tokens, case when f then cap else l * u // o - l * (u - w) // o end as b from (select *, b - coalesce(sum(cap) filter (f) over (partition by domain, lang), 0) as l, sum(w) filter (not f) over (partition by domain, lang) as o,
+    sum(case when f then 0 else w end) over (partition by domain, lang order by cap::double / w, source rows between unbounded preceding and current row) as u from s1)),
 s3 as (select *, case when tokens > 0 then b // tokens else 0 end as whole from s2),
 ordered as (select doc_id, domain, lang, source, n_tokens, whole, b - whole * tokens as rest, sum(n_tokens) over (partition by domain, lang, source
     order by substr(md5('{SEED}:' || cast(whole as varchar) || ':' || coalesce(cast(doc_id as varchar), '')), 1, 16), doc_id) as seen
