@@ -43,23 +43,21 @@ select page_id, n as payload_bytes, sha256(p) as payload_digest, case when f < p
 
 _WORDS = "list_filter(string_split_regex(translate(%s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\\s+'), lambda x: x <> '')"
 
-#: Lines first, then sentences in lines that stay; a sentence ends behind a mark that white space or the line's end follows.
+#: Lines, and sentences in lines of several; a sentence ends behind a mark that white space or the line's end follows.
 SUBSTRING_DUP = f"""
 with own as (select row_number() over () as r, doc_id, sha256(coalesce(text, '')) as key, string_split(coalesce(text, ''), chr(10)) as l from documents),
 lines as (select r, doc_id, key, unnest(l) as line, unnest(range(len(l))) as k from own),
 placed as (select *, cast(coalesce(sum(length(line) + 1) over (partition by r order by k rows between unbounded preceding and 1 preceding), 0) as int) as start from lines),
-worded as (select *, {_WORDS % "line"} as w from placed),
-units as (select *, array_to_string(w, ' ') as u from worded where len(w) > 0),
+whole as (select r, doc_id, key, k, line, start, {_WORDS % "line"} as w, false as inside from placed),
+cut as (select r, doc_id, key, k, start, len(w) as words, string_split(regexp_replace(line, '([.!?]+)(\\s|$)', '\\1' || chr(1) || '\\2', 'g'), chr(1)) as p from whole),
+pieces as (select r, doc_id, key, k, start, words, unnest(p) as line, unnest(range(len(p))) as j from cut),
+parts as (select r, doc_id, key, k, line, cast(start + coalesce(sum(length(line)) over (partition by r, k order by j rows between unbounded preceding and 1 preceding), 0) as int) as start, {_WORDS % "line"} as w, words from pieces),
+units as (select r, doc_id, key, k, line, start, inside, array_to_string(w, ' ') as u from whole where len(w) > 0
+  union all select r, doc_id, key, k, line, start, true, array_to_string(w, ' ') from parts where len(w) >= {LEAST_WORDS} and len(w) < words),
 ranked as (select *, first_value(doc_id) over o as keeper_doc_id, first_value(key) over o as keeper_key, first_value(start) over o as keeper_start from units window o as (partition by u order by doc_id nulls last, key, start)),
-marked as (select *, (doc_id, key, start) is distinct from (keeper_doc_id, keeper_key, keeper_start) as gone from ranked),
-cut as (select r, doc_id, key, k, start as base, gone, string_split(regexp_replace(line, '([.!?]+)(\\s|$)', '\\1' || chr(1) || '\\2', 'g'), chr(1)) as p from marked where len(w) >= {LEAST_WORDS}),
-pieces as (select r, doc_id, key, k, base, gone, unnest(p) as p, unnest(range(len(p))) as j from cut),
-inside as (select *, {_WORDS % "p"} as w, cast(base + coalesce(sum(length(p)) over (partition by r, k order by j rows between unbounded preceding and 1 preceding), 0) as int) as start from pieces),
-again as (select *, first_value(doc_id) over o as keeper_doc_id, first_value(key) over o as keeper_key, first_value(start) over o as keeper_start
-  from (select *, array_to_string(w, ' ') as u from inside where len(w) >= {LEAST_WORDS}) window o as (partition by u order by doc_id nulls last, key, start))
-select doc_id, start, cast(start + length(line) as int) as "end", keeper_doc_id, keeper_start from marked where gone
-union all select doc_id, start, cast(start + length(p) as int), keeper_doc_id, keeper_start from again
-where not gone and (doc_id, key, start) is distinct from (keeper_doc_id, keeper_key, keeper_start)
+gone as (select * from ranked where (doc_id, key, start) is distinct from (keeper_doc_id, keeper_key, keeper_start))
+select doc_id, start, cast(start + length(line) as int) as "end", keeper_doc_id, keeper_start from gone
+where not inside or (r, k) not in (select (r, k) from gone where not inside)
 """
 
 _BANDS = " || ',' || ".join(f"cast(count(*) filter (b[1] = '{d}') * 1000 // count(*) as varchar)" for d in "0123456789ABCDEF")

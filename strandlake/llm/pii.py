@@ -4,7 +4,11 @@ Column expressions only. A pattern's matches and the pieces between them have
 the same order, so running lengths give offsets; each kind is two passes of a
 pattern that cannot backtrack over long runs. An IBAN has its country's length, so
 that it ends before a word that follows. Offsets count code points, the
-end is exclusive. A null text is an empty one, a null doc_id is kept.
+end is exclusive. A null text is an empty one, which has no spans, a null
+doc_id is kept; each row, repeated or not, has one of its own in the result. An
+empty table gives an empty one, other columns are not looked at. The pieces of
+a text are held beside it, so that a very long one takes about six times its
+size in its task.
 """
 
 from pyspark.sql import Column, DataFrame

@@ -21,16 +21,30 @@ def shared_folder(spark: SparkSession) -> str:
     return at
 
 
+_MADE: list[str] = []
+
+
 def written(frame: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """The frame as a Parquet table in the shared folder: computed once, no lineage, safe from lost executors.
 
-    The table goes with the application's folder when the driver ends.
+    The table goes with the application's folder when the driver ends, or with written_alone().
     """
     at = paths.scratch(frame.sparkSession, name)
+    _MADE.append(at)
     frame.write.option("compression", codec).parquet(at)
     return frame.sparkSession.read.schema(frame.schema).parquet(at)
 
 
+def written_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make gives as a written table; the tables that were written on the way to it are removed."""
+    before = len(_MADE)
+    out = written(make(), name)
+    for at in _MADE[before:-1]:
+        paths.delete(out.sparkSession, at)
+    del _MADE[before:]
+    return out
+
+
 def row_bytes(x: Column, kind: T.DataType) -> Column:
     """About what a value takes in memory: texts and lists by their real length."""
     if isinstance(kind, T.StringType | T.BinaryType):

@@ -1,15 +1,13 @@
 """Repeated lines and the sentences in them: hashes of normalised units, the earliest occurrence stays.
 
-A unit is a line with a word in it. It is normalised (A-Z in lower case, runs
-of white space as one space) and hashed to 128 bits; occurrences are grouped by
-hash over all documents, the earliest in the order of (doc_id, text digest,
-start) stays and all others go, also within one document.
-
-Copied passages need not begin and end with a line, so that lines alone leave
-many of them whole. Lines that stay are therefore looked up once more by their
-sentences, in the same way; sentences have LEAST_WORDS words, as shorter ones
-repeat by chance within different lines. A paragraph, whose lines then count as
-one unit, is the other choice of unit.
+A unit is a line with a word in it, or a sentence of LEAST_WORDS words or more
+in a line of several: copied passages need not begin and end with a line, so
+that lines alone leave many of them whole; shorter sentences repeat by chance
+within different lines. A unit is normalised (A-Z in lower case, runs of white
+space as one space) and hashed to 128 bits; occurrences, be they lines or
+sentences, are grouped by hash over all documents. The earliest in the order of
+(doc_id, text digest, start) stays and all others go, also within one document.
+A paragraph, whose lines then count as one unit, is the other choice of unit.
 
 Spans are code points of the original text, the end exclusive. Rows of one
 doc_id with equal texts are one document repeated, all of whose rows stay or
@@ -30,24 +28,24 @@ from pyspark.sql import functions as F
 
 from strandlake.llm.shared import join_checked, map_arrow, text_key, text_or_empty, written
 
-#: Sentences within a unit that are looked up by themselves have so many words.
+#: Words of the shortest sentence that is looked up by itself.
 LEAST_WORDS = 5
 
 # Units, and sentences within them.
 UNITS = {"line": re.compile(r"[^\n]+"), "paragraph": re.compile(r"(?:[^\n]|\n(?!\s*\n))+")}
-SENTENCE = re.compile(r"[^\n]*?[.!?]+(?=\s|$)|[^\n]+")
+SENTENCE, MARK = re.compile(r"[^\n]*?[.!?]+(?=\s|$)|[^\n]+"), re.compile(r"[.!?]")
 _LOWER = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
 
 
 def spans_of(text: str, unit: str, sentences: bool, least_words: int):
-    """Unit number, start, end, whether it is a sentence, and normalised words of all that is looked up in a text."""
+    """Unit number, start, end, whether it is a sentence inside, and normalised words of all that is looked up in a text."""
     low = text.lower() if text.isascii() else text.translate(_LOWER)
     for k, m in enumerate(UNITS[unit].finditer(low)):
         if words := m[0].split():
             yield k, m.start(), m.end(), False, words
-            if sentences and len(words) >= least_words:
+            if sentences and len(words) > least_words and MARK.search(m[0].rstrip().rstrip(".!?")):
                 for s in SENTENCE.finditer(m[0]):
-                    if len(own := s[0].split()) >= least_words:
+                    if least_words <= len(own := s[0].split()) < len(words):
                         yield k, m.start() + s.start(), m.start() + s.end(), True, own
 
 
@@ -59,7 +57,7 @@ def units(docs: DataFrame, unit: str = "line", sentences: bool = True, least_wor
         for d, text in enumerate(batch.column("text").to_pylist()):
             for k, s, e, inner, words in spans_of(text, unit, sentences, least_words):
                 rows.append((d, k, inner, s, e - s))
-                digests.append(xxhash.xxh3_128_digest(" ".join(words), seed=inner))
+                digests.append(xxhash.xxh3_128_digest(" ".join(words)))
         c = list(zip(*rows, strict=True)) if rows else [()] * 5
         of, both = pa.array(c[0], pa.int32()), np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays(

@@ -9,7 +9,9 @@ sidecar index: record id, type, offset, length. Reading goes by that index.
 Of pages with equal payloads of at least LEAST bytes the one with the smallest
 page_id is a response, the others revisit it; equal page_ids are one page
 repeated and stay responses together. A null page_id ranks last, a null html is
-an empty payload.
+an empty payload, a null url about:blank. An empty table gives an empty one. A
+very long page is an archive by itself, held at once. Other columns than
+page_id, url and html are not looked at.
 """
 
 import hashlib

@@ -161,28 +161,23 @@ def lower(text):
 
 
 def units_brute(rows):
-    """Lines that stand earlier, then sentences of five words or more in the other lines that stand earlier anywhere."""
-    order, lines, inner = {}, defaultdict(set), defaultdict(set)
+    """Lines, and sentences of five words or more in lines of several, that stand earlier as either."""
+    units = defaultdict(set)
     for doc, text in rows:
         text = text or ""
         key = hashlib.sha256(text.encode()).digest()
         at = 0
         for line in text.split("\n"):
-            if w := lower(line).split():
-                lines[" ".join(w)].add((doc is None, doc or 0, key, at, at + len(line)))
-                if len(w) >= 5:
-                    for m in re.finditer(r".*?[.!?]+(?=\s|$)|.+", line):
-                        if len(v := lower(m[0]).split()) >= 5:
-                            inner[" ".join(v)].add((doc is None, doc or 0, key, at + m.start(), at + m.end(), at))
+            w = lower(line).split()
+            if w:
+                units[" ".join(w)].add((doc is None, doc or 0, key, at, at + len(line), at, False))
+            for m in re.finditer(r".*?[.!?]+(?=\s|$)|.+", line):
+                if 5 <= len(v := lower(m[0]).split()) < len(w):
+                    units[" ".join(v)].add((doc is None, doc or 0, key, at + m.start(), at + m.end(), at, True))
             at += len(line) + 1
-    out, whole = [], set()
-    for places in lines.values():
-        for p in places - {min(places)}:
-            out.append((p, min(places)))
-            whole.add(p[:4])
-    for places in inner.values():
-        out += [(p, min(places)) for p in places - {min(places)} if (*p[:3], p[5]) not in whole]
-    return sorted((p[1], p[3], p[4], k[1], k[3]) for p, k in out)
+    gone = [(p, min(places)) for places in units.values() for p in places if p[:4] != min(places)[:4]]
+    whole = {(*p[:3], p[5]) for p, _ in gone if not p[6]}
+    return sorted((p[1], p[3], p[4], k[1], k[3]) for p, k in gone if not p[6] or (*p[:3], p[5]) not in whole)
 
 
 def test_substring(docs, odd, none):
