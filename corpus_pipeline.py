@@ -4,6 +4,10 @@ The quality classifier drops documents that it rejects; line deduplication
 takes out repeated runs of lines; of each group of near-duplicates one document
 stays; documents with benchmark passages go; what is left is mixed to target
 weights, so the last stage has a row for each time that a document comes.
+
+Nulls in any column, repeated rows, empty and very long texts and further
+columns are as each operator says; all stages but the last pass on the columns
+that documents have. An empty table gives an empty one.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +17,7 @@ from strandlake.llm.line_dup import dedup_lines
 from strandlake.llm.mixing import mix_documents
 from strandlake.llm.near_dup import drop_near_dups
 from strandlake.llm.quality import keep_quality
-from strandlake.llm.shared import written
+from strandlake.llm.shared import written_alone
 
 #: Common shingles of two documents, in percent of all of theirs, from which the near_dedup stage links them; op10 has its own.
 NEAR_PERCENT = 80
@@ -57,8 +61,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir, each written and read again."""
+    """All stages over the documents of sf_dir, each written and read again; what a stage wrote for itself goes with it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = written_alone(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
