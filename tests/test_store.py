@@ -172,3 +172,100 @@ def test_stream(spark, tmp_path):
     q = fasta_stream(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("got").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {tuple(r) for r in spark.table("got").collect()} == {("seq1", "GATTACA"), ("seq2", "CG" * 14)}
+
+
+def test_cut_off_gzip_raises(spark, put, tmp_path):
+    rng = random.Random(1)
+    data = "".join(f"@r{k}\n{''.join(rng.choices('ACGT', k=80))}\n+\n{'I' * 80}\n" for k in range(4000)).encode()
+    whole = gzip.compress(data[:200_000]) + gzip.compress(data[200_000:])
+    (tmp_path / "w.fastq.gz").write_bytes(whole)
+    assert scan_fastq(spark, str(tmp_path / "w.fastq.gz")).count() == 4000
+    for k, cut in enumerate((len(whole) // 2, len(whole) - 3)):
+        (tmp_path / f"c{k}.fastq.gz").write_bytes(whole[:cut])
+        with pytest.raises(Exception, match="ends inside a gzip member"):
+            scan_fastq(spark, str(tmp_path / f"c{k}.fastq.gz")).count()
+    (tmp_path / "c.fasta.gz").write_bytes(gzip.compress(b">a\n" + bytes(rng.choices(b"ACGT", k=90_000)))[:9000])
+    with pytest.raises(Exception, match="(?i)eof|end of"):
+        scan_fasta(spark, str(tmp_path / "c.fasta.gz")).count()
+
+
+def test_batches_are_bounded_by_bytes(tmp_path):
+    from strandlake.sources import fasta, fastq
+
+    (tmp_path / "long.fastq").write_bytes(b"".join(b"@r%d\n%s\n+\n%s\n" % (k, b"A" * 3_000_000, b"I" * 3_000_000) for k in range(6)))
+    reader = fastq.FastqReader({"path": str(tmp_path / "long.fastq")})
+    sizes = [b.nbytes for p in reader.partitions() for b in reader.read(p)]
+    assert len(sizes) == 3 and max(sizes) < 2 * fastq.BATCH_BYTES
+    import pyarrow as pa
+
+    pieces = pa.RecordBatch.from_arrays([pa.array([b"r%d\n%s" % (k, b"A" * 3_000_000) for k in range(6)]), pa.array(["f"] * 6), pa.array([1] * 6)], ["value", "file", "block"])
+    out = list(fasta._parser(8192, 4 << 20)([pieces]))
+    assert [b.num_rows for b in out] == [2, 2, 2]
+
+
+def test_fasta_folder_needs_no_shuffle(spark, tmp_path):
+    want = {}
+    for k in range(7):
+        (tmp_path / f"{k}.fasta").write_bytes((b"junk\n" if k % 2 else b"") + b"".join(b">%d.%d x\nAC\n%s\n" % (k, i, b"G" * i) for i in range(50)))
+        want |= {f"{k}.{i}": ("AC" + "G" * i, "") for i in range(50)}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        scan = scan_fasta(spark, str(tmp_path))
+        assert rows(scan) == want
+        assert "Exchange" not in scan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_last_wins_shuffles_ids_only(spark, put):
+    data = b"".join(b">r%d\n%s\n" % (k % 40, b"ACGT" * k) for k in range(60))
+    assert rows(dedup_scan(scan_fasta(spark, put("t.fasta", data)))) == {f"r{k}": ("ACGT" * (k + 40 if k < 20 else k), "") for k in range(40)}
+    once = dedup_scan(scan_fasta(spark, put("o.fasta", data[: data.index(b">r0", 5)])))
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert once.count() == 40 and "Exchange" not in plan and "FileScan parquet" in plan
+
+
+def test_lookup_reads_the_loaded_table(spark, put):
+    path = put("l.fasta", b"".join(b">r%d\nACGT\n" % k for k in range(1000)))
+    s = SequenceStore(spark)
+    s.load(path)
+    assert s.summary["rows"] == 1000 and s.summary["action"] == "loaded"
+    put("l.fasta", b">other\nT\n")  # the snapshot is not the file
+    assert s.get("r77") == "ACGT" and s.get("other") == ""
+    plan = s.files.where("id = 'r77'")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(id), EqualTo(id,r77)]" in plan and "Exchange" not in plan and "Arrow" not in plan
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from strandlake.sources import paths
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        paths.scratch(far, "x")
+
+
+def test_scratch_goes_with_the_session(tmp_path):
+    import subprocess
+    import sys
+
+    code = f"""
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+from strandlake.sources.paths import scratch
+at = scratch(s, "t")
+s.range(3).write.parquet(at)
+import os
+assert os.path.exists(at[7:])
+s.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120, cwd=str(__import__("pathlib").Path(__file__).parent.parent))
+    import time
+
+    for _ in range(50):
+        left = [p for p in (tmp_path / "shared").rglob("*.parquet")]
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left
