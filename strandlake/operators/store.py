@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import encode_payload, format_label
 from strandlake.operators import lookup
 from strandlake.operators.dedup import file_order, last_wins, latest, repeated_ids, write_keyed
-from strandlake.operators.metrics import file_mb, rates, timed, total_size
+from strandlake.operators.metrics import file_mb, payload_bytes, rates, timed, total_size
 from strandlake.schema import FORMAT_CODES, FORMAT_NAMES, KEY_VALUE, RECORDS
 from strandlake.sources.binary import SMRT_MAGIC, TRAC_MAGIC, TRAC_VERSION, scan_smrt, scan_trac, smrt_code, write_smrt, write_trac
 from strandlake.sources.fasta import scan_fasta
@@ -17,6 +17,9 @@ from strandlake.sources.paths import file_size, files_of, first_bytes, first_lin
 
 log = logging.getLogger(__name__)
 
+#: Ids, sequences and qualities of a snapshot that the driver may hold for lookups by single keys.
+HELD_BYTES = 64 << 20
+
 
 def load_scan(spark: SparkSession, path: str, mode: str = "validated") -> DataFrame | None:
     """Scan of a FASTA or FASTQ file by its first character; None for a file of no bytes.
@@ -39,6 +42,8 @@ class SequenceStore:
         self.format = "DNA_FASTA"
         self._base: DataFrame | None = None
         self._fresh: dict[str, str] = {}
+        self._held: dict[str, Row] | None = None
+        self._held_of: DataFrame | None = None
         #: What the last load, save or restore did.
         self.summary: dict[str, object] = {}
 
@@ -148,7 +153,18 @@ class SequenceStore:
     # lookups
 
     def _file(self, key: str):
-        """The row of a key in the files, or None: one filter that row groups are skipped by."""
+        """The row of a key in the files, or None.
+
+        Files of at most HELD_BYTES are kept in the driver from the first such
+        lookup on; others are read with a filter that row groups are skipped by.
+        """
+        if self._held_of is not self.files:
+            self._held_of, self._held = self.files, None
+            if (payload_bytes(self.files).first()["total_bytes"] or 0) <= HELD_BYTES:
+                columns = self.files.select("id", "sequence", "quality").toArrow().to_pydict()
+                self._held = {i: Row(sequence=a, quality=b) for i, a, b in zip(columns["id"], columns["sequence"], columns["quality"], strict=True)}
+        if self._held is not None:
+            return self._held.get(key)
         return self.files.where(F.col("id") == key).select("sequence", "quality").first()
 
     def _pair(self, key: str):

@@ -225,13 +225,18 @@ def test_last_wins_shuffles_ids_only(spark, put):
     assert once.count() == 40 and "Exchange" not in plan and "FileScan parquet" in plan
 
 
-def test_lookup_reads_the_loaded_table(spark, put):
+@pytest.mark.parametrize("held", [1 << 20, 100])
+def test_lookup_reads_the_loaded_table(spark, put, monkeypatch, held):
+    from strandlake.operators import store
+
+    monkeypatch.setattr(store, "HELD_BYTES", held)
     path = put("l.fasta", b"".join(b">r%d\nACGT\n" % k for k in range(1000)))
     s = SequenceStore(spark)
     s.load(path)
     assert s.summary["rows"] == 1000 and s.summary["action"] == "loaded"
     put("l.fasta", b">other\nT\n")  # the snapshot is not the file
-    assert s.get("r77") == "ACGT" and s.get("other") == ""
+    assert s.get("r77") == "ACGT" and s.get("other") == "" and (s._held is None) == (held == 100)
+    assert tuple(s.get_fastq_record("r999")) == ("ACGT", "") and s.has_sequence("r0") and not s.has_sequence("r1000")
     plan = s.files.where("id = 'r77'")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(id), EqualTo(id,r77)]" in plan and "Exchange" not in plan and "Arrow" not in plan
 
