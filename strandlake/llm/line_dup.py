@@ -215,23 +215,34 @@ def _cut_series(texts, removed):
     return pd.Series([None if t is None else _cut(b := t.encode(), _runs(() if r is None else r, b)).decode("utf-8", "replace") for t, r in zip(texts, removed, strict=True)])
 
 
+def _ranges(own: list[dict]) -> list[tuple[int, int]]:
+    """Start and end of what goes, runs that touch as one."""
+    out: list[tuple[int, int]] = []
+    for x in own:
+        if out and out[-1][1] == x["start"]:
+            out[-1] = out[-1][0], x["end"]
+        else:
+            out.append((x["start"], x["end"]))
+    return out
+
+
 def line_dedup_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_removed, removed_bytes, kept_bytes, kept_sha256 (of the text that remains) and spans for each row of docs."""
+    """doc_id, n_removed (byte ranges that go), removed_bytes, kept_bytes, kept_sha256 (of the text that remains) and spans (the ranges, as start:end) for each row of docs."""
 
     def f(batch: pa.RecordBatch):
         import hashlib
 
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         removed = [_runs(r or (), t) for t, r in zip(texts, batch.column("removed").to_pylist(), strict=True)]
-        kept = [_cut(t, r) for t, r in zip(texts, removed, strict=True)]
+        kept, ranges = [_cut(t, r) for t, r in zip(texts, removed, strict=True)], [_ranges(r) for r in removed]
         return pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
-                pa.array([len(r) for r in removed], pa.int64()),
-                pa.array([sum(x["end"] - x["start"] for x in r) for r in removed], pa.int64()),
+                pa.array([len(r) for r in ranges], pa.int64()),
+                pa.array([sum(e - s for s, e in r) for r in ranges], pa.int64()),
                 pa.array([len(k) for k in kept], pa.int64()),
                 pa.array([hashlib.sha256(k).hexdigest() for k in kept]),
-                pa.array([",".join(f"{x['start']}:{x['end']}:{x['keeper_doc_id']}" for x in r) for r in removed]),
+                pa.array([",".join(f"{s}:{e}" for s, e in r) for r in ranges]),
             ],
             ["doc_id", "n_removed", "removed_bytes", "kept_bytes", "kept_sha256", "spans"],
         )

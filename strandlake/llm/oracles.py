@@ -77,3 +77,25 @@ select doc_id, n_bytes, octet_length(p) as payload_bytes, sha256(p) as payload_s
   octet_length(image) as media_bytes, sha256(image) as media_sha256, feature
 from bits join features using (doc_id)
 """
+
+#: Each pair of lines that are not blank, with the blank ones between, goes if it stands earlier. What goes does not depend on coarse chunks.
+LINE_DUP = """
+with own as (select row_number() over () as r, doc_id, sha256(coalesce(text, '')) as key, coalesce(text, '') as text, string_split(coalesce(text, ''), chr(10)) as l from documents),
+split as (select r, doc_id, key, text, l, unnest(l) as line, unnest(range(len(l))) as k from own),
+placed as (select *, coalesce(sum(strlen(line) + 1) over (partition by r order by k rows between unbounded preceding and 1 preceding), 0) as s from split),
+lines as (select r, doc_id, key, l, line, k, s, least(s + strlen(line) + 1, strlen(text)) as e, regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g') <> '' as words,
+  right(text, 1) <> chr(10) and k = len(l) - 1 as open from placed where k < len(l) - 1 or line <> ''),
+numbered as (select *, count(*) filter (words) over (partition by r order by k) as m from lines),
+pairs as (select r, doc_id, key, m, s, array_to_string(l[k + 1:lead(k) over (partition by r order by k) + 1], chr(10)) as u, lead(k) over (partition by r order by k) as next from numbered where words),
+ranked as (select r, m, doc_id, key, s, first_value(doc_id) over o as keeper, first_value(key) over o as keeper_key, first_value(s) over o as keeper_s from pairs where next is not null
+  window o as (partition by u order by doc_id nulls last, key, s)),
+again as (select r, m from ranked where (doc_id, key, s) is distinct from (keeper, keeper_key, keeper_s)),
+marked as (select n.*, exists (select 1 from again a where a.r = n.r and (a.m = n.m or n.words and a.m = n.m - 1)) as gone from numbered n),
+islands as (select *, k - row_number() over (partition by r, gone order by k) as island from marked),
+ranges as (select r, min(s) - case when bool_or(open) and min(s) > 0 then 1 else 0 end as s, max(e) as e from islands where gone group by r, island),
+spans as (select r, count(*) as n_removed, cast(sum(e - s) as bigint) as removed_bytes, string_agg(cast(s as bigint) || ':' || cast(e as bigint), ',' order by s) as spans from ranges group by r),
+kept as (select r, coalesce(string_agg(line || case when open then '' else chr(10) end, '' order by k) filter (not gone), '') as kept, bool_or(gone and open) as ends from marked group by r),
+texts as (select own.r, own.doc_id, own.text, n_removed, removed_bytes, spans, case when n_removed is null then text when ends and kept <> '' then left(kept, length(kept) - 1) else kept end as kept
+  from own left join spans using (r) left join kept using (r))
+select doc_id, coalesce(n_removed, 0) as n_removed, coalesce(removed_bytes, 0) as removed_bytes, cast(strlen(kept) as bigint) as kept_bytes, sha256(kept) as kept_sha256, coalesce(spans, '') as spans from texts
+"""

@@ -55,6 +55,9 @@ def op5_line_dedup(spark, sf_dir):
     return line_dup.line_dedup_report(table(spark, sf_dir, "documents"))
 
 
+SQL["op5_line_dedup"] = oracles.LINE_DUP
+
+
 @query
 def op6_decontaminate(spark, sf_dir):
     """doc_id, item_id, common, n_item, containment."""

@@ -3,9 +3,10 @@
 import hashlib
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
-from strandlake.llm import line_dup, shared
+from strandlake.llm import line_dup, oracles, shared
 
 
 def lines_of(text):
@@ -70,7 +71,13 @@ def test_runs_of_lines(spark):
     docs = spark.createDataFrame([(d, t, len(t or "")) for d, t in ROWS], "doc_id long, text string, n_chars int")
     got = {r.doc_id: r for r in line_dup.line_dedup_report(docs).collect()}
     assert {d: r.kept_sha256 for d, r in got.items()} == {d: hashlib.sha256((t or "").encode()).hexdigest() for d, t, _ in want}
-    assert got[3].spans == f"6:{6 + 2 * len(C) + 2}:1" and got[3].n_removed == 1
+    assert got[3].spans == f"6:{6 + 2 * len(C) + 2}" and got[3].n_removed == 1
+    runs = {r.doc_id: r.removed for r in line_dup.with_removed(docs).collect()}
+    assert [(x.start, x.keeper_doc_id, x.keeper_start) for x in runs[3]] == [(6, 1, ROWS[0][1].index(C))]
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text").toArrow())
+    cols = ["doc_id", "n_removed", "removed_bytes", "kept_bytes", "kept_sha256", "spans"]
+    assert sorted(map(str, con.execute(f"select {', '.join(cols)} from ({oracles.LINE_DUP})").fetchall())) == sorted(str(tuple(r[c] for c in cols)) for r in got.values())
     kept = {r.doc_id: r for r in line_dup.dedup_lines(docs).collect()}
     assert {d: r.text for d, r in kept.items()} == {d: t for d, t, n in want if not n or t.strip()}
     assert all(r.n_chars == len(r.text or "") for r in kept.values()) and 2 not in kept
