@@ -2,6 +2,7 @@
 
 from strandlake.llm.decontaminate import PERCENT
 from strandlake.llm.media import WIDTH
+from strandlake.llm.pii import IBAN_LENGTHS, KINDS, LEAST as LEAST_SCORE, LOWERS, NEAR, PRIOR, RAISES
 from strandlake.llm.substring_dup import LEAST_WORDS
 from strandlake.llm.warc import LEAST
 
@@ -99,3 +100,34 @@ texts as (select own.r, own.doc_id, own.text, n_removed, removed_bytes, spans, c
   from own left join spans using (r) left join kept using (r))
 select doc_id, coalesce(n_removed, 0) as n_removed, coalesce(removed_bytes, 0) as removed_bytes, cast(strlen(kept) as bigint) as kept_bytes, sha256(kept) as kept_sha256, coalesce(spans, '') as spans from texts
 """
+
+_IBANS = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+# The plain patterns. Of IBANs only those of countries in the registry, which must not touch an underscore either.
+_PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]", "iban": rf"\b(?:{_IBANS})\b",
+}
+_FOUND = " union all ".join(f"select r, '{k}' as kind, {n} as o, t, string_split_regex(t, '{_PLAIN[k]}') as p, regexp_extract_all(t, '{_PLAIN[k]}') as m from own" for n, k in enumerate(KINDS))
+_BY_KIND = lambda values, quote="": "case kind " + " ".join(f"when '{k}' then {quote}{values[k]}{quote}" for k in KINDS) + " end"
+_COUNTS = ", ".join(f"count(*) filter (kind = '{k}') as n_{k}" for k in KINDS)
+
+PII = f"""
+with own as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+found as ({_FOUND}),
+single as (select r, kind, o, t, unnest(p[1:len(m)]) as p, unnest(m) as m, unnest(range(len(m))) as i from found where len(m) > 0),
+placed as (select *, cast(sum(length(p)) over (partition by r, kind order by i) + coalesce(sum(length(m)) over (partition by r, kind order by i rows between unbounded preceding and 1 preceding), 0) as bigint) as s,
+  regexp_replace(m, '[^0-9]', '', 'g') as d, replace(m, ' ', '') as plain from single),
+confirmed as (select * from placed where case kind
+    when 'ip' then len(list_filter(string_split(m, '.'), lambda x: try_cast(x as hugeint) <= 255)) = 4
+    when 'card' then length(d) between 16 and 19 and list_sum(list_transform(range(length(d)), lambda k: case when k % 2 = 0 then cast(d[length(d) - k] as int)
+      else cast(d[length(d) - k] as int) * 2 - case when cast(d[length(d) - k] as int) > 4 then 9 else 0 end end)) % 10 = 0
+    when 'phone' then length(d) between 8 and 15
+    when 'iban' then list_reduce(list_prepend(cast(0 as bigint), list_transform(string_split(plain[5:] || plain[:4], ''), lambda c: cast(case when c <= '9' then ascii(c) - 48 else ascii(c) - 55 end as bigint))),
+      lambda a, v: (a * case when v < 10 then 10 else 100 end + v) % 97) = 1
+    else true end),
+near as (select *, s + length(m) as e, t[greatest(s - {NEAR}, 0) + 1:s + length(m) + {NEAR}] as around from confirmed),
+scored as (select *, round({_BY_KIND(PRIOR)}::double + case when regexp_matches(around, {_BY_KIND(RAISES, "'")}) then 0.2::double else 0.0::double end - case when regexp_matches(around, {_BY_KIND(LOWERS, "'")}) then 0.3::double else 0.0::double end, 1) as score from near),
+kept as (select *, kind || ':' || s || ':' || e as span from scored where kind <> 'iban' or score >= {LEAST_SCORE}),
+sums as (select r, {_COUNTS}, string_agg(span, ',' order by o, s) filter (kind <> 'iban') as base, string_agg(span, ',' order by o, s) as spans, string_agg(cast(score as varchar), ',' order by o, s) as scores from kept group by r)
+select doc_id, {", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k in KINDS)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(scores, '') as scores from own left join sums using (r)
+"""

@@ -49,6 +49,9 @@ def op4_pii(spark, sf_dir):
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
+SQL["op4_pii"] = oracles.PII
+
+
 @query
 def op5_line_dedup(spark, sf_dir):
     """doc_id, n_removed, removed_bytes, kept_bytes, kept_sha256, spans."""

@@ -31,37 +31,42 @@ from strandlake.llm.shared import join_checked, map_arrow, text_key, text_or_emp
 #: Words of the shortest sentence that is looked up by itself.
 LEAST_WORDS = 5
 
-# Units, and sentences within them.
+# A unit, and where a sentence ends within it.
 UNITS = {"line": re.compile(r"[^\n]+"), "paragraph": re.compile(r"(?:[^\n]|\n(?!\s*\n))+")}
-SENTENCE, MARK = re.compile(r"[^\n]*?[.!?]+(?=\s|$)|[^\n]+"), re.compile(r"[.!?]")
-_LOWER = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
+END = re.compile(r"[.!?]+(?=\s|$)|\n")
 
 
 def spans_of(text: str, unit: str, sentences: bool, least_words: int):
     """Unit number, start, end, whether it is a sentence inside, and normalised words of all that is looked up in a text."""
-    low = text.lower() if text.isascii() else text.translate(_LOWER)
+    low = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # A-Z only
     for k, m in enumerate(UNITS[unit].finditer(low)):
-        if words := m[0].split():
-            yield k, m.start(), m.end(), False, words
-            if sentences and len(words) > least_words and MARK.search(m[0].rstrip().rstrip(".!?")):
-                for s in SENTENCE.finditer(m[0]):
-                    if least_words <= len(own := s[0].split()) < len(words):
-                        yield k, m.start() + s.start(), m.start() + s.end(), True, own
+        line, at = m[0], m.start()
+        if words := line.split():
+            yield k, at, m.end(), False, words
+            if sentences and len(words) > least_words:
+                s = 0
+                for e in [x.end() for x in END.finditer(line)] + [len(line)]:
+                    if least_words <= len(own := line[s:e].split()) < len(words):
+                        yield k, at + s, at + e - (line[e - 1] == "\n"), True, own
+                    s = e
 
 
 def units(docs: DataFrame, unit: str = "line", sentences: bool = True, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, key (of the text), unit (its number), inner (a sentence), start, length (in code points) and the hash h1, h2."""
 
     def f(batch: pa.RecordBatch):
-        rows, digests = [], []
+        of, number, inner, start, length, digests = [], [], [], [], [], []
         for d, text in enumerate(batch.column("text").to_pylist()):
-            for k, s, e, inner, words in spans_of(text, unit, sentences, least_words):
-                rows.append((d, k, inner, s, e - s))
+            for k, s, e, inside, words in spans_of(text, unit, sentences, least_words):
+                of.append(d)
+                number.append(k)
+                inner.append(inside)
+                start.append(s)
+                length.append(e - s)
                 digests.append(xxhash.xxh3_128_digest(" ".join(words)))
-        c = list(zip(*rows, strict=True)) if rows else [()] * 5
-        of, both = pa.array(c[0], pa.int32()), np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        of, both = pa.array(of, pa.int32()), np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(of), batch.column("key").take(of), pa.array(c[1], pa.int32()), pa.array(c[2], pa.bool_()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())],
+            [batch.column("doc_id").take(of), batch.column("key").take(of), pa.array(number, pa.int32()), pa.array(inner, pa.bool_()), pa.array(start, pa.int32()), pa.array(length, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())],
             ["doc_id", "key", "unit", "inner", "start", "length", "h1", "h2"],
         )
 
