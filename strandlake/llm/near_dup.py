@@ -14,7 +14,8 @@ With 30 bands of 5 rows, two texts at a threshold of 0.85 share no bucket with
 probability 2e-8, at 0.8 with 7e-6.
 
 Null and empty texts have no shingles and are alone, as are texts of white
-space. A null doc_id is in no group. An empty table gives an empty one. A very
+space. A null doc_id is in no group. Rows of one doc_id are one document, of
+which one text is compared where they differ. An empty table gives an empty one. A very
 long text is one row whose set must fit into a task. Other columns are not
 looked at, whatever their names.
 """
