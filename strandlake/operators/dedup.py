@@ -22,9 +22,14 @@ def file_order() -> Column:
     return F.struct("file", "block", "ord")
 
 
+def bloom(key: str) -> dict[str, str]:
+    """Writer options for bloom filters on a key, as large as each row group needs."""
+    return {f"parquet.bloom.filter.enabled#{key}": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+
+
 def write_keyed(rows: DataFrame, key: str, at: str) -> DataFrame:
     """The rows as Parquet with bloom filters on the key, so that a lookup skips row groups without it."""
-    rows.write.option("compression", "lz4").option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(at)
+    rows.write.option("compression", "lz4").options(**bloom(key)).parquet(at)
     return rows.sparkSession.read.schema(rows.schema).parquet(at)
 
 

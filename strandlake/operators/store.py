@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import encode_payload, format_label
 from strandlake.operators import lookup
-from strandlake.operators.dedup import file_order, last_wins, latest, repeated_ids, write_keyed
+from strandlake.operators.dedup import bloom, file_order, last_wins, latest, repeated_ids, write_keyed
 from strandlake.operators.metrics import file_mb, payload_bytes, rates, timed, total_size
 from strandlake.schema import FORMAT_CODES, FORMAT_NAMES, KEY_VALUE, RECORDS
 from strandlake.sources.binary import SMRT_MAGIC, TRAC_MAGIC, TRAC_VERSION, scan_smrt, scan_trac, smrt_code, write_smrt, write_trac
@@ -19,6 +19,8 @@ log = logging.getLogger(__name__)
 
 #: Ids, sequences and qualities of a snapshot that the driver may hold for lookups by single keys.
 HELD_BYTES = 64 << 20
+#: Files of a snapshot whose sizes are looked up for that.
+MOST_FILES = 200
 
 
 def load_scan(spark: SparkSession, path: str, mode: str = "validated") -> DataFrame | None:
@@ -121,7 +123,7 @@ class SequenceStore:
     def save_native(self, folder: str) -> None:
         """Both snapshots as Parquet, sorted by key in each file, with bloom filters on the key."""
         for name, key, rows in (("files", "id", self.files), ("pairs", "key", self.pairs)):
-            rows.sortWithinPartitions(key).write.mode("overwrite").option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(f"{folder}/{name}")
+            rows.sortWithinPartitions(key).write.mode("overwrite").options(**bloom(key)).parquet(f"{folder}/{name}")
 
     def restore_native(self, folder: str) -> None:
         """Both snapshots from Parquet; unlike the one-file formats, read in parallel and pruned by key."""
@@ -160,13 +162,18 @@ class SequenceStore:
         """
         if self._held_of is not self.files:
             self._held_of, self._held = self.files, None
-            if (payload_bytes(self.files).first()["total_bytes"] or 0) <= HELD_BYTES:
+            if self._stored_bytes() <= HELD_BYTES and (payload_bytes(self.files).first()["total_bytes"] or 0) <= HELD_BYTES:
                 columns = self.files.select("id", "sequence", "quality").toArrow().to_pydict()
                 self._held = {i: Row(sequence=a, quality=b) for i, a, b in zip(columns["id"], columns["sequence"], columns["quality"], strict=True)}
         if self._held is not None:
             return self._held.get(key)
         return self.files.where(F.col("id") == key).select("sequence", "quality").first()
 
+    def _stored_bytes(self) -> float:
+        """Bytes of the files that hold the snapshot, as listed; more than any bound for very many of them."""
+        files = self.files.inputFiles()
+        return sum(file_size(f) for f in files) if len(files) <= MOST_FILES else float("inf")
+
     def _pair(self, key: str):
         """kind, data, sequence and quality (bytes) of a key among the updates, or None."""
         if key in self._fresh:

@@ -19,7 +19,7 @@ from strandlake.sources.paths import files_of, open_store
 # Fixed values of the formats.
 SMRT_MAGIC, TRAC_MAGIC, TRAC_VERSION = b"SMRT", b"TRAC", 2
 FASTA_ROW, FASTQ_ROW = 0, 1
-BATCH = 4096
+BATCH, BLOCK = 4096, 4 << 20
 LIMIT = 2**32 - 1
 
 
@@ -29,32 +29,41 @@ class CacheFile(InputPartition):
 
 
 class _Cursor:
-    """Sequential exact reads; a short one means a cut-off file."""
+    """Sequential exact reads from blocks; a short one means a cut-off file."""
 
     def __init__(self, path: str):
         fs, inner = open_store(path)
-        self.path, self.f = path, fs.open_input_stream(inner, compression=None, buffer_size=1 << 20)
+        self.path, self.f, self.held, self.at = path, fs.open_input_stream(inner, compression=None), b"", 0
 
     def take(self, n: int) -> bytes:
-        got = self.f.read(n) if n else b""
-        if len(got) != n:
-            raise ValueError(f"{self.path} ends inside a record")
-        return got
-
-    def number(self, form: str) -> int:
-        return struct.unpack(f"<{form}", self.take(struct.calcsize(form)))[0]
+        end = self.at + n
+        if end > len(self.held):
+            parts = [self.held[self.at :]]
+            left = n - len(parts[0])
+            while left > 0 and (more := self.f.read(max(left, BLOCK))):
+                parts.append(more)
+                left -= len(more)
+            if left > 0:
+                raise ValueError(f"{self.path} ends inside a record")
+            self.held, self.at, end = b"".join(parts), 0, n
+        out = self.held[self.at : end]
+        self.at = end
+        return out
+
+    def number(self, size: int) -> int:
+        return int.from_bytes(self.take(size), "little")
 
     def sized(self) -> bytes:
-        return self.take(self.number("I"))
+        return self.take(self.number(4))
 
 
 def smrt_rows(path: str) -> Iterator[tuple]:
     at = _Cursor(path)
     if at.take(4) != SMRT_MAGIC:
         raise ValueError(f"{path} is no SMRT file")
-    if (code := at.number("B")) not in FORMAT_NAMES:
+    if (code := at.number(1)) not in FORMAT_NAMES:
         raise ValueError(f"{path} has the unknown format code {code}")
-    for k in range(at.number("Q")):
+    for k in range(at.number(8)):
         name, sequence, quality = (at.sized().decode("utf-8", "replace") for _ in range(3))
         yield name, sequence, quality, path, 0, k
 
@@ -63,11 +72,11 @@ def trac_rows(path: str) -> Iterator[tuple]:
     at = _Cursor(path)
     if at.take(4) != TRAC_MAGIC:
         raise ValueError(f"{path} is no TRAC file")
-    if at.number("B") != TRAC_VERSION:
+    if at.number(1) != TRAC_VERSION:
         return
-    for _ in range(at.number("Q")):
+    for _ in range(at.number(8)):
         key = at.sized().decode("utf-8", "replace")
-        kind = at.number("B")
+        kind = at.number(1)
         if kind == FASTA_ROW:
             yield key, "FASTA", at.sized(), None, None
         elif kind == FASTQ_ROW:
@@ -80,7 +89,7 @@ def smrt_code(path: str) -> int:
     """The file-kind code in the header."""
     at = _Cursor(path)
     at.take(4)
-    return at.number("B")
+    return at.number(1)
 
 
 class CacheReader(DataSourceReader):

@@ -45,8 +45,8 @@ def _parser(most_rows: int, most_bytes: int):
 
         now, place, rows, size = None, 0, [], 0
         for b in batches:
-            for value, file, block in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                piece, place = value.as_py(), place + 1
+            for piece, file, block in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                place += 1
                 if block == 0 and file != now:
                     now = file
                     if not piece.startswith(b">"):
