@@ -55,7 +55,7 @@ _CC = {"CC-BY-4.0": ("BY", "Attribution"), "CC-BY-SA-4.0": ("BY-SA", "Attributio
 NAMES = {
     "MIT": ["MIT License", "MIT Licence", "Expat License", "MIT-style license"],
     "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache License v2.0", "Apache 2.0"],
-    **{f: [f"GNU {name} Public License, version {v}", f"GNU {name} Public License v{v}", f"GNU {short} version {v}", f"GNU {short} v{v}", f"GNU {short} {v}", f"{short} version {v}", f"{short} v{v}", f"{short}v{v} license", f"the {short}v{v}", f"{short}-{w}", f"version {v} of the GNU {name} Public License"] for f, (name, short, v, w) in _GNU.items()},
+    **{f: [f"GNU {name} Public License, version {v}", f"GNU {name} Public License v{v}", f"GNU {short} version {v}", f"GNU {short} v{v}", f"GNU {short} {v}", f"{short} version {v}", f"{short} v{v}", f"{short}v{v} license", f"the {short}v{v}", f"under {short}v{v}", f"GNU {short}v{v}", f"{short}-{w}", f"version {v} of the GNU {name} Public License"] for f, (name, short, v, w) in _GNU.items()},
     "BSD": ["BSD 3-Clause License", "BSD 2-Clause License", "3-Clause BSD License", "2-Clause BSD License", "New BSD License", "BSD License", "BSD-style license", "modified BSD license"],
     "MPL-2.0": ["Mozilla Public License, v. 2.0", "Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL 2.0", "MPL version 2.0", "MPL v2.0"],
     **{f: [f"CC {short} 4.0", f"Creative Commons {name} 4.0 International License", f"Creative Commons {name} 4.0", f"Creative Commons {name.replace('Non', 'Non-').replace('No-', 'No').replace('ShareAlike', 'Share-Alike')} 4.0"] for f, (short, name) in _CC.items()},
@@ -70,7 +70,11 @@ IDENTIFIERS = {
 }
 #: These stand by themselves; the second kind must also end its sentence.
 WHOLE = {"proprietary": ["All rights reserved"], **{f: [f"SPDX-License-Identifier: {x}" for x in ids] for f, ids in IDENTIFIERS.items()}}
+for _f in ("MIT", "ISC", "Unlicense", "BSD"):
+    WHOLE[_f] += [f"{lead} {'BSD' if _f == 'BSD' else _f}" for lead in ("Licensed under", "Licensed under the", "Released under", "License:")]
 CLOSED = "proprietary"
+# Words between the names of a choice or a list of licences.
+BETWEEN = ["or", "and", "and or", "or the", "and the", "and or the"]
 # Licences that are no family here; half of them are for calibration only.
 OTHERS = [
     "Eclipse Public License 2.0", "Artistic License 2.0", "zlib License", "Boost Software License 1.0", "Open Software License 3.0", "European Union Public Licence 1.2", "SIL Open Font License 1.1", "Python Software Foundation License",
@@ -214,6 +218,11 @@ def _leads() -> list[np.ndarray]:
     return _words(LEADS)
 
 
+@cache
+def _between() -> set[tuple]:
+    return {tuple(w.tolist()) for w in _words(BETWEEN)}
+
+
 @cache
 def _bodies() -> list[tuple[int, np.ndarray, list[np.ndarray]]]:
     """Family, word pairs and telling words of each text."""
@@ -244,7 +253,8 @@ def _named(words: np.ndarray, pairs: np.ndarray, paragraph: np.ndarray) -> list[
             kept.append((s, e, family, whole))
     out = []
     for s, e, family, whole in sorted(kept):
-        if family >= 0 and whole:
+        linked = out and out[-1][3] and out[-1][4] >= SHARED and out[-1][2] == end and tuple(words[end:s].tolist()) in _between() and paragraph[end - 1] == paragraph[s]
+        if family >= 0 and (whole or linked):
             out.append((family, s, e, True, 1.0))
         elif family >= 0:
             low = max(end, s - REACH)
@@ -254,7 +264,8 @@ def _named(words: np.ndarray, pairs: np.ndarray, paragraph: np.ndarray) -> list[
                 own = _pairs(np.concatenate([lead, words[s:e]]))
                 there = np.flatnonzero(np.isin(pairs[low : e - 1], own)) + low
                 shared = len(np.intersect1d(own, pairs[low : e - 1])) / len(own)
-                best = max(best, (shared, len(own), int(there[0]), bool(there[0] < s)))
+                before = _pairs(lead) if len(lead) > 1 else own[:1]  # more than the word at the name
+                best = max(best, (shared, len(own), int(there[0]), bool(np.isin(pairs[low:s], before).any())))
             out.append((family, best[2], e, best[3], best[0]))
         end = e
     return out

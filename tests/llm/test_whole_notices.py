@@ -118,3 +118,11 @@ def test_work_follows_the_notices():
 def test_calibration_is_by_examples():
     _, _, least = license_scan.model()
     assert 0 < least < 1 and least != 0.5
+
+
+def test_several_licences(spark):
+    cases = [("SPDX-License-Identifier: MIT OR Apache-2.0", ["MIT", "Apache-2.0"]), ("Licensed under MIT or the Apache License, Version 2.0, at your option.", ["MIT", "Apache-2.0"]), (f"{PROSE}. It is dual licensed under the GNU GPL v2 and the BSD License. {PROSE}", ["GPL-2.0", "BSD"]), ("Licensed under GPLv3", ["GPL-3.0"]), ("License: MIT", ["MIT"]), ("We like the MIT License and the Apache License 2.0 as names", [])]
+    got = license_scan.scan_licenses(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()
+    for k, (text, want) in enumerate(cases):
+        own = sorted((r.start, r.end, r.family) for r in got if r.doc_id == k)
+        assert [x[2] for x in own] == want and all(a[1] <= b[0] for a, b in zip(own, own[1:], strict=False)), (text, own)
