@@ -58,8 +58,8 @@ def row_bytes(x: Column, kind: T.DataType) -> Column:
 
 
 def small_enough(frame: DataFrame) -> bool:
-    """The frame has few enough rows and bytes to broadcast; rows are counted up to the bound, bytes measured only below it."""
-    if frame.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+    """The frame has few enough rows and bytes to broadcast; rows of a written table are counted from its footers, bytes measured only below the bound."""
+    if frame.count() > BROADCAST_ROWS:
         return False
     taken = sum((row_bytes(F.col(f"`{f.name}`"), f.dataType) for f in frame.schema.fields), F.lit(16).cast("long"))
     return (frame.agg(F.sum(taken)).first()[0] or 0) <= BROADCAST_BYTES
