@@ -25,6 +25,8 @@ other columns are never looked at. A text of any length is cut and read in one
 row of its own; what is held for it grows with its lines.
 """
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -36,6 +38,7 @@ from strandlake.llm.shared import join_checked, map_arrow, text_key, text_or_emp
 #: Lines under the rolling hash, which is also the shortest chunk; zero bits of it where a coarse chunk ends.
 WINDOW, COARSE_BITS = 2, 3
 
+_FULL = re.compile(r"[^\x20\x09-\x0D]")
 _STEP, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
@@ -201,18 +204,21 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     all of its lines. Empty and null texts stay as they are.
     """
     names, gone = docs.columns, "__removed__"
-    cut = F.pandas_udf(_cut_series, "string")
-    out = with_removed(docs, gone).withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(cut("text", gone)))
-    if "n_chars" in names:
-        n = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(n))
-    return out.where(F.col(gone).isNull() | F.rlike("text", F.lit(r"\S"))).select(names)
-
 
-def _cut_series(texts, removed):
-    import pandas as pd
-
-    return pd.Series([None if t is None else _cut(b := t.encode(), _runs(() if r is None else r, b)).decode("utf-8", "replace") for t, r in zip(texts, removed, strict=True)])
+    def f(batch: pa.RecordBatch):
+        removed = batch.column(gone)
+        if removed.null_count == len(removed):
+            return batch.select(names)
+        runs, old = removed.to_pylist(), batch.column("text")
+        texts = [t if r is None else _cut(b := t.encode(), _runs(r, b)).decode("utf-8", "replace") for t, r in zip(old.to_pylist(), runs, strict=True)]
+        new = {"text": pa.array(texts, old.type)}
+        if "n_chars" in names:
+            n = batch.column("n_chars")
+            new["n_chars"] = pa.array([x if r is None else len(t) for x, t, r in zip(n.to_pylist(), texts, runs, strict=True)], n.type)
+        out = pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names)
+        return out.filter(pa.array([r is None or _FULL.search(t) is not None for t, r in zip(texts, runs, strict=True)]))
+
+    return map_arrow(with_removed(docs, gone), f, docs.schema)
 
 
 def _ranges(own: list[dict]) -> list[tuple[int, int]]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.shared import join_checked, map_arrow, shared_folder, text_or_empty, written
+from strandlake.llm.shared import give_back, join_checked, map_arrow, shared_folder, text_or_empty, written
 from strandlake.llm.words import mix, shingle_sets
 
 BANDS, ROWS = 30, 5
@@ -149,7 +149,7 @@ def _local_forest(edges: DataFrame) -> DataFrame:
                 a, b = root(a), root(b)
                 if a != b:
                     parent[max(a, b)] = min(a, b)
-            if len(parent) > 2_000_000:  # bounded memory; later rounds join what this cuts
+            if len(parent) > 500_000:  # bounded memory; later rounds join what this cuts
                 yield from out()
                 parent.clear()
         yield from out()
@@ -307,6 +307,9 @@ def _compare_open_buckets(members: DataFrame, groups: DataFrame, sets: DataFrame
             if left == 1:
                 break
         a, b = zip(*found, strict=True) if found else ((), ())
+        if len(values) > 1 << 20:
+            del table, lists, values, flat, holder, order
+            give_back()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return written(meet.groupBy("key", "x", "y").applyInArrow(compare, "a long, b long"), "near-more")

@@ -112,11 +112,12 @@ def cut_spans(docs: DataFrame, unit: str = "line", sentences: bool = True, least
     gone = _repeated(docs, unit, sentences, least_words)
     lists = gone.groupBy(F.col("doc_id").alias("__doc__"), F.col("key").alias("__key__")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__spans__"))  # no more than a text has
 
-    @F.pandas_udf("string")
-    def cut(texts, all_spans):
-        out = []
-        for text, own in zip(texts, all_spans, strict=True):
-            if text is not None and own is not None and len(own):
+    names = docs.columns
+
+    def f(batch: pa.RecordBatch):
+        spans, old, out = batch.column("__spans__").to_pylist(), batch.column("text"), []
+        for text, own in zip(old.to_pylist(), spans, strict=True):
+            if text is not None and own:
                 kept, at = [], 0
                 for s in own:
                     kept.append(text[at : s["start"]])
@@ -124,10 +125,9 @@ def cut_spans(docs: DataFrame, unit: str = "line", sentences: bool = True, least
                 text = "".join([*kept, text[at:]])
                 text = text if text.strip() else ""
             out.append(text)
-        import pandas as pd
-
-        return pd.Series(out)
+        new = pa.array(out, old.type)
+        return pa.RecordBatch.from_arrays([new if c == "text" else batch.column(c) for c in names], names)
 
     keyed = docs.withColumns({"__doc__": F.col("doc_id").cast("long"), "__key__": _key()})
-    joined = join_checked(keyed, written(lists, "spans"), ["__doc__", "__key__"], "left")
-    return joined.withColumn("text", F.when(F.col("__spans__").isNull(), F.col("text")).otherwise(cut("text", "__spans__"))).select(docs.columns)
+    joined = join_checked(keyed, written(lists, "spans"), ["__doc__", "__key__"], "left").drop("__doc__", "__key__")
+    return map_arrow(joined, f, docs.schema)

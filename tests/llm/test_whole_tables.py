@@ -115,3 +115,18 @@ def test_no_near_copy_reaches_the_end(spark):
     # what is left of a near copy shares less than the threshold with what is left of its group
     whole = [i for i in copies if i in left and left[i] == texts[i]]
     assert not whole and len(copies) > 40
+
+
+def test_tables_on_the_way_are_removed(spark):
+    """A stage's own tables go, its result and those from before stay."""
+    import os
+
+    before = shared.written(spark.range(5), "before")
+
+    def make():
+        own = shared.written(before.selectExpr("id + 1 as id"), "own")
+        make.at = own.inputFiles()[0].removeprefix("file://")
+        return own.where("id > 2")
+
+    out = shared.written_alone(make, "result")
+    assert not os.path.exists(make.at) and sorted(r.id for r in out.collect()) == [3, 4, 5] and before.count() == 5
