@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions import decode_payload
+from strandlake.operators.dedup import file_order
 
 
 def _files(records: DataFrame) -> DataFrame:
@@ -66,5 +67,14 @@ def batch_stored_size(keys: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def first_in_file(scan: DataFrame, key: str) -> DataFrame:
-    """id and sequence of the first record of a key, or no row: splits are read in order, and no more of them once one has it."""
-    return scan.where(F.col("id") == key).select("id", "sequence").limit(1)
+    """id and sequence of the first record of a key in file order, or no row; the lookup is made at the call.
+
+    Tasks take the splits of one file in order, so they are read in that order
+    and no more of them once one has the key. A limit inside of a larger plan
+    would not do: it takes whichever split's row a shuffle brings first. Several
+    files are dealt to tasks by size: there all are read, and the least place stays.
+    """
+    hits = scan.where(F.col("id") == key)
+    if len(scan.inputFiles()) != 1:
+        hits = hits.orderBy(file_order())
+    return scan.sparkSession.createDataFrame(hits.select("id", "sequence").take(1), "id string, sequence string")

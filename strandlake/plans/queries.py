@@ -1,6 +1,7 @@
 """The queries that the driver runs, each with SQL that gives the same rows."""
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -447,8 +448,9 @@ def linear_lookup(spark, sf_dir):
     """The first record of an id in a file that has it many times, found by reading up to it."""
     events = table(spark, sf_dir, "events")
     path = _file(spark, events.coalesce(1).sortWithinPartitions("event_id").select(F.col("user_id").cast("string").alias("id"), F.col("event_type").alias("sequence")))
-    least, most = events.agg(F.min("user_id"), F.max("user_id")).first()
-    return lookup.first_in_file(scan_fasta(spark, path), str(least)).unionAll(lookup.first_in_file(scan_fasta(spark, path), str(most)))
+    ends = events.agg(F.min("user_id"), F.max("user_id")).first()
+    found = [lookup.first_in_file(scan_fasta(spark, path), str(key)) for key in dict.fromkeys(ends)]
+    return reduce(DataFrame.unionAll, found)
 
 
 @query(f"""with g as (select id, sequence, quality from ({GEN})),
